@@ -19,6 +19,12 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.neardup import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir), words=5, percent=85)
+
+
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.packing import pack
 
@@ -28,6 +34,7 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
+        "op6_near_dedup": op6_near_dedup,
         "op9_pattern_packing": op9_pattern_packing,
     }
 
