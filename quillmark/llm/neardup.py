@@ -97,31 +97,28 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
             )
 
 
-def _roots(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+def _unite(label: np.ndarray, x: int, others: np.ndarray) -> None:
+    """Gives x, the others and all that has their labels the smallest of these labels."""
+    labels = np.unique(np.append(label[others], label[x]))
+    label[np.isin(label, labels[1:])] = labels[0]
 
 
 def _join_bucket(ids: np.ndarray, n: np.ndarray, b: np.ndarray, sig: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of a bucket that share a table and may reach the threshold."""
-    parent = list(range(len(ids)))
+    label = np.arange(len(ids))
     for j in range(b.shape[1]):
         order = np.argsort(b[:, j], kind="stable")
         cut = np.flatnonzero(np.diff(b[order, j])) + 1
         for group in np.split(order, cut) if len(cut) else [order]:
             for k in range(len(group) - 1):
                 x, rest = group[k], group[k + 1 :]
-                rest = rest[100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])]
-                if len(rest):
-                    for y in rest[(sig[rest] == sig[x]).sum(axis=1) >= AGREE]:
-                        p, q = _roots(parent, int(x)), _roots(parent, int(y))
-                        if p != q:
-                            parent[max(p, q)] = min(p, q)
-        if len({_roots(parent, i) for i in range(len(ids))}) == 1:
+                rest = rest[(label[rest] != label[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))]
+                if len(rest) and len(rest := rest[(sig[rest] == sig[x]).sum(axis=1) >= AGREE]):
+                    _unite(label, x, rest)
+        if (label == 0).all():
             break
-    return [(int(ids[i]), int(ids[r])) for i in range(len(ids)) if (r := _roots(parent, i)) != i and ids[i] != ids[r]]
+    at = np.flatnonzero((label != np.arange(len(ids))) & (ids != ids[label]))
+    return list(zip(ids[at].tolist(), ids[label[at]].tolist(), strict=True))
 
 
 def _groups(table: pa.Table, columns: list[str]) -> Iterator[tuple[int, int]]:
@@ -192,21 +189,21 @@ def verified_links(ids: list[int], sets: list[np.ndarray], side: np.ndarray | No
     posting = owner[order]
     begin = np.concatenate([[0], np.cumsum(np.bincount(code))])
     first = np.concatenate([[0], np.cumsum(size)])
-    parent = list(range(len(sets)))
+    label = np.arange(len(sets))
     for x in range(len(sets) - 1):
+        if (label[x:] == label[x]).all():
+            continue
         c = code[first[x] : first[x + 1]]
         length = begin[c + 1] - begin[c]
         total = np.cumsum(length)
         at = np.repeat(begin[c] - (total - length), length) + np.arange(total[-1])
         both = np.bincount(posting[at], minlength=len(sets))[x + 1 :]
-        hit = 100 * both >= percent * (size[x] + size[x + 1 :] - both)
+        hit = (100 * both >= percent * (size[x] + size[x + 1 :] - both)) & (label[x + 1 :] != label[x])
         if side is not None:
             hit &= side[x + 1 :] != side[x]
-        for y in np.flatnonzero(hit):
-            p, q = _roots(parent, x), _roots(parent, x + 1 + int(y))
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-    return [(ids[i], ids[r]) for i in range(len(sets)) if (r := _roots(parent, i)) != i]
+        if hit.any():
+            _unite(label, x, x + 1 + np.flatnonzero(hit))
+    return [(ids[i], ids[r]) for i, r in enumerate(label.tolist()) if r != i]
 
 
 def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
