@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmark.llm.common import tokenizer_path
 
@@ -31,11 +32,19 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), max_tokens=2048, end_id=0)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.suffixdedup import remove_repeats
+
+    out = remove_repeats(_documents(spark, sf_dir), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
         "op6_near_dedup": op6_near_dedup,
         "op9_pattern_packing": op9_pattern_packing,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
