@@ -20,12 +20,25 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.omh import with_edits
+
+    return with_edits(_documents(spark, sf_dir))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.neardup import near_duplicates
 
     return near_duplicates(_documents(spark, sf_dir), words=5, percent=85)
 
 
+def op7_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.mtree import top_inner_products
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_inner_products(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.packing import pack
 
@@ -42,11 +55,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
+        "op5_order_minhash": op5_order_minhash,
         "op6_near_dedup": op6_near_dedup,
+        "op7_mtree_search": op7_mtree_search,
         "op9_pattern_packing": op9_pattern_packing,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
+_OP7 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mtree_search": _OP7}
