@@ -20,6 +20,13 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm import toxicity
+
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs, toxicity.fit(docs, labels), [*toxicity.CATEGORIES, "toxic"], threshold=0.25)
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.omh import with_edits
 
@@ -39,6 +46,14 @@ def op7_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm import quality
+
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = quality.fit(docs, labels.where(~quality.held_out()), "quality")
+    return quality.score(docs, weights, threshold=0.7).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.packing import pack
 
@@ -55,9 +70,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
+        "op4_toxicity_chain": op4_toxicity_chain,
         "op5_order_minhash": op5_order_minhash,
         "op6_near_dedup": op6_near_dedup,
         "op7_mtree_search": op7_mtree_search,
+        "op8_quality_ftrl": op8_quality_ftrl,
         "op9_pattern_packing": op9_pattern_packing,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
