@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import drop_tables, materialize, narrow, ship_package
@@ -278,3 +278,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     out = linked.join(named.withColumn("any", F.lit(True)), ["h1", "h2", "any"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def first_of_each_group(docs: DataFrame, words: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of which near_duplicates keeps one per group, with all their columns. Rows of one id are one
+    document, of which one row stays; rows without id all stay."""
+    kept = near_duplicates(docs, words, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    found = docs.join(kept, F.col(id_col).cast("long") == F.col("__id"))
+    one = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(F.col(text_col))))
+    found = found.withColumn("__row", one).where("__row = 1").select(*docs.columns)
+    return found.unionByName(docs.where(F.col(id_col).isNull()))

@@ -24,7 +24,6 @@ text may not be valid UTF-8 (`remove_spans` can widen spans to whole code points
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -349,5 +348,35 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     return remove_spans(docs, repeated_spans(docs, length, id_col, text_col), id_col, text_col, whole_code_points)
 
 
-def sha256_hex(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
+def cleaned_rows(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """The documents with all their columns, the text without its repeated passages (whole code points), and its
+    number of code points anew in size_col. Null texts stay null."""
+    spans = repeated_spans(docs, length, id_col, text_col)
+    lists = spans.groupBy(F.col("rk").alias("__rk"), F.coalesce("doc_id", F.lit(0)).alias("__d")).agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
+    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.withColumn("__rk", key).withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+    rows = rows.join(lists, ["__rk", "__d"], "left").select(*docs.columns, "__spans")
+    at = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = batch.column(text_col).cast(pa.binary()), batch.column("__spans")
+            out = []
+            for i in range(batch.num_rows):
+                raw = texts[i].as_py()
+                if raw is not None and lists[i].is_valid:
+                    values = lists[i].values
+                    runs = merged(np.stack([values.field(c).to_numpy() for c in ("first", "last")], axis=1)).tolist()
+                    edges = [0, *(e for a, b in runs for e in (_border(raw, a, 1), _border(raw, b, -1))), len(raw)]
+                    raw = b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
+                out.append(None if raw is None else raw.decode())
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    out = rows.mapInArrow(clean, docs.schema)
+    if size_col in docs.columns:
+        out = out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType)).select(*docs.columns)
+    return out
+
+
