@@ -37,7 +37,7 @@ from quillmark.llm.neardup import whole_groups
 from quillmark.llm.textvec import U64, span_hashes, steps, take_rows, text_bytes
 
 #: Bytes of a selected string, distinct contexts of a group, and bytes of contexts that are sorted at once.
-K, GROUP, CHUNK = 32, 8192, 2 << 20
+K, GROUP, CHUNK = 32, 4096, 1 << 20
 _POSITION_BITS = 28
 
 
@@ -81,18 +81,17 @@ def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
     padded = np.concatenate([t.astype(U64), np.zeros(8, U64)])
     for k in range(7):
         key = (key << U64(9)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    done, rank = 7, np.empty(n, np.int64)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    done, rank = 7, np.empty(n, np.int32)
     while True:
         sorted_key = key[order]
-        step = np.zeros(n, np.int64)
+        step = np.zeros(n, np.int32)
         step[1:] = sorted_key[1:] != sorted_key[:-1]
-        rank[order] = np.cumsum(step) + 1
+        rank[order] = np.cumsum(step, dtype=np.int32) + 1
         if done >= depth or rank[order[-1]] == n:
             return order
-        behind = np.zeros(n, np.int64)
-        behind[: n - done] = rank[done:]
-        key = (rank.astype(U64) << U64(32)) | behind.astype(U64)
+        key = rank.astype(U64) << U64(32)
+        key[: n - done] |= rank[done:].astype(U64)
         # only suffixes that are not alone yet are sorted again, each within its group
         again = np.concatenate([step[1:] == 0, [False]]) | np.concatenate([[False], step[1:] == 0])
         at = np.flatnonzero(again)
@@ -110,26 +109,26 @@ def common_prefix_boundaries(t: np.ndarray, order: np.ndarray, length: int) -> n
     """
     n = len(t)
     bwt = t[order - 1]
-    by_symbol = np.argsort(bwt, kind="stable")
-    last_to_first = np.empty(n, np.int64)
-    last_to_first[by_symbol] = np.arange(n)
+    by_symbol = np.argsort(bwt, kind="stable").astype(np.int32)
+    last_to_first = np.empty(n, np.int32)
+    last_to_first[by_symbol] = np.arange(n, dtype=np.int32)
     first = bwt[by_symbol]
     parted = np.zeros(n + 1, bool)
     parted[0] = parted[n] = True
-    low, high = np.array([0]), np.array([n])
-    owner = np.empty(n, np.int64)
+    low, high = np.array([0], np.int32), np.array([n], np.int32)
+    owner = np.empty(n, np.int32)
     # the interval of the empty string: its extensions end where symbols change
     for step in range(length):
         size = high - low
-        total = np.cumsum(size)
-        which = np.repeat(np.arange(len(low)), size)
-        at = np.arange(total[-1]) - np.repeat(total - size - low, size)
+        total = np.cumsum(size, dtype=np.int32)
+        which = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        at = np.arange(total[-1], dtype=np.int32) - np.repeat(total - size - low, size)
         to = last_to_first[at]
         owner[to] = which
         if len(to) * 16 > n:
             seen = np.zeros(n, bool)
             seen[to] = True
-            to = np.flatnonzero(seen)
+            to = np.flatnonzero(seen).astype(np.int32)
         else:
             to = np.sort(to)
         own, symbol = owner[to], first[to]
@@ -242,10 +241,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     rows = _keyed(docs, id_col, text_col)
     listed = rows.mapInArrow(lambda it: _list_contexts(it, length), "h long, rk long, packed long")
     listed = materialize(listed, "suffix-contexts")
-    twice = listed.groupBy("h").count().where("count > 1").select("h")
+    # a table of its own, so that the join below deals both sides out and can split a frequent hash
+    twice = materialize(listed.groupBy("h").count().where("count > 1").select("h"), "suffix-twice")
     found = listed.join(twice, "h").groupBy("rk").agg(F.collect_set(F.struct("h", "packed")).alias("found"))
     found = materialize(found, "suffix-found")
-    drop_tables(listed)
+    drop_tables(listed, twice)
     cut = rows.join(found, "rk").select("doc_id", "rk", "text", "found").mapInArrow(lambda it: _cut_contexts(it, length), _CONTEXT)
     cut = cut.select("*", F.xxhash64("bytes", "place").alias("c1"), F.xxhash64("place", "n", "bytes").alias("c2"))
     level = materialize(cut, "suffix-cut")
