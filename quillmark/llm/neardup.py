@@ -36,7 +36,7 @@ from quillmark.llm.textvec import LOWER, SPACE, U64, mix, span_hashes, steps, ta
 #: Hashes in each collection, and minima in each hash.
 T, K = 16, 3
 #: Nodes of a bucket that one task compares, and shingles of a cluster that one task verifies.
-BUCKET, CLUSTER_SHINGLES = 1024, 1_500_000
+BUCKET, CLUSTER_SHINGLES = 4096, 1_500_000
 #: Minima of 2 * T * K that agree at least, else a pair is given up: 5.3 standard deviations below the mean at 0.85.
 AGREE = 63
 
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     own = materialize(own, "neardup-own")
 
     keyed = own.select("doc_id", F.explode(F.slice("keys", 1, T)).alias("bucket"))
-    shared = keyed.groupBy("bucket").count().where("count > 1")
+    shared = materialize(keyed.groupBy("bucket").count().where("count > 1"), "neardup-shared")
     met = materialize(keyed.join(shared, "bucket"), "neardup-buckets")
     detail = own.select("doc_id", "n", "keys", "sig")
     small = met.where(F.col("count") <= BUCKET).select("doc_id", "bucket")
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     dealt = small.join(detail, "doc_id").repartition("bucket").sortWithinPartitions("bucket")
     edges = dealt.mapInArrow(lambda it: _join_buckets(it, percent), "src long, dst long").union(stars)
     clusters = connected_components(edges, "neardup-clusters")
-    drop_tables(met, tables)
+    drop_tables(met, tables, shared)
 
     members = clusters.join(own.select(F.col("doc_id").alias("id"), "n"), "id").dropDuplicates(["id"])
     weight = members.groupBy("component").agg(F.sum("n").alias("weight"))
