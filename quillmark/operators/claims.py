@@ -102,12 +102,13 @@ def salvaged_objects(text: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf("string")
-def extract_json(texts: pd.Series) -> pd.Series:
-    return texts.map(first_json)
+def extract_json(text: Column) -> Column:
+    return F.pandas_udf(lambda s: s.map(first_json), "string", F.PandasUDFType.SCALAR)(text)
 
 
-@F.pandas_udf("array<string>")
-def salvage_json(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in parts:
-        yield texts.map(salvaged_objects)
+def salvage_json(text: Column) -> Column:
+    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield texts.map(salvaged_objects)
+
+    return F.pandas_udf(each, "array<string>", F.PandasUDFType.SCALAR_ITER)(text)

@@ -67,9 +67,8 @@ def page_text(html: str | None) -> str:
     return "\n\n".join(t for t in (" ".join(x.split()) for x in p.parts) if t)
 
 
-@F.pandas_udf("string")
-def extract_body(pages: pd.Series) -> pd.Series:
-    return pages.map(page_text)
+def extract_body(html: Column) -> Column:
+    return F.pandas_udf(lambda pages: pages.map(page_text), "string", F.PandasUDFType.SCALAR)(html)
 
 
 class _Images(HTMLParser):
