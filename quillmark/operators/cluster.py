@@ -35,21 +35,12 @@ def dense_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, ts_co
 
 
 def sparse_pairs(weights: DataFrame, id_col: str, threshold: float) -> DataFrame:
-    """Pairs of sparse unit vectors (id, bucket, weight) by an inverted index: only pairs that share a bucket meet.
-
-    Buckets are ordered from rare to frequent. A vector's most frequent buckets whose squares sum to less than
-    threshold**2 cannot reach the threshold alone, so a pair must share one of the others, in both vectors; only those
-    are index entries. Pairs are completed over all weights afterwards."""
-    frequency = weights.groupBy("bucket").agg(F.count("*").alias("df"))
-    common_first = Window.partitionBy(id_col).orderBy(F.desc("df"), F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
-    ordered = weights.join(frequency, "bucket").withColumn("tail", F.sum(F.col("weight") * F.col("weight")).over(common_first))
-    indexed = ordered.where(F.col("tail") >= threshold * threshold - 1e-9)
-    i = indexed.select(F.col(id_col).alias("i"), "bucket")
-    j = indexed.select(F.col(id_col).alias("j"), "bucket")
-    pairs = i.join(j, "bucket").where("i < j").select("i", "j").distinct()
-    wi = weights.select(F.col(id_col).alias("i"), "bucket", F.col("weight").alias("a"))
-    wj = weights.select(F.col(id_col).alias("j"), "bucket", F.col("weight").alias("b"))
-    sums = pairs.join(wi, "i").join(wj, ["j", "bucket"]).groupBy("i", "j").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("similarity"))
+    """Pairs of sparse unit vectors (id, bucket, weight) by an inverted index: only rows that share a bucket meet, and
+    their products are summed before the shuffle. Buckets in fewer rows cost less, so hash to many where rows are many."""
+    i = weights.select(F.col(id_col).alias("i"), "bucket", F.col("weight").alias("a"))
+    j = weights.select(F.col(id_col).alias("j"), "bucket", F.col("weight").alias("b"))
+    met = i.join(j, "bucket").where("i < j")
+    sums = met.groupBy("i", "j").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("similarity"))
     return sums.where(F.col("similarity") >= threshold)
 
 
