@@ -28,6 +28,8 @@ from quillmark.llm.common import materialize, narrow, ship_package
 
 #: Pieces of one length that are ranked in one group.
 RANK_GROUP = 10_000
+#: Shares of the fitted repeats that are tried.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, max_tokens: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,9 +68,9 @@ def _patterns(counts: np.ndarray, most: int) -> np.ndarray:
     has = np.flatnonzero(counts)
     has = has[(has > 0) & (has < most)]
     rows = [[a, most - a, 0] for a in has if a >= most - a and counts[most - a]]
-    for a in has:
+    for a in has[2 * has > most]:  # what leaves no room for a longer one, so no gap that others need is used up
         rest = most - a
-        options = [b for b in has[(has <= a) & (2 * has >= rest) & (has < rest)] if counts[rest - b]]
+        options = [b for b in has[(2 * has >= rest) & (has < rest)] if counts[rest - b]]
         options.sort(key=lambda b: -min(counts[b], counts[rest - b]))
         rows += [[a, b, rest - b] for b in options[:2]]
     return np.array(rows, np.int64).reshape(-1, 3)
@@ -92,23 +94,30 @@ def _fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndar
 
 
 def plan_packing(counts: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """Which lengths share a sequence, and how many such sequences; counts[l] pieces of each length l <= most."""
+    """Which lengths share a sequence, and how many such sequences; counts[l] pieces of each length l <= most.
+
+    The fitted repeats are rounded down at several shares of the fit; the plan of fewest sequences is taken."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    plan: list[tuple[tuple[int, ...], int]] = []
-    if left[most]:
-        plan.append(((most,), int(left[most])))
-        left[most] = 0
+    full: list[tuple[tuple[int, ...], int]] = [((most,), int(left[most]))] if left[most] else []
+    left[most] = 0
     patterns = _patterns(left, most)
-    if len(patterns):
-        x = _fit(patterns, left)
-        for k in np.argsort(-x, kind="stable"):
-            lengths = [int(v) for v in patterns[k] if v]
-            n = int(min(np.floor(x[k] + 1e-9), min(left[v] // lengths.count(v) for v in lengths)))
-            if n > 0:
-                plan.append((tuple(lengths), n))
-                for v in lengths:
-                    left[v] -= n
+    x = _fit(patterns, left) if len(patterns) else np.empty(0)
+    plans = [_plan(left, most, patterns, share * x) for share in (SHARES if len(patterns) else (1.0,))]
+    return full + min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: np.ndarray, most: int, patterns: np.ndarray, x: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns as often as x says, rounded down to what is there, and best-fit decreasing for the residual."""
+    left = counts.copy()
+    plan: list[tuple[tuple[int, ...], int]] = []
+    for k in np.argsort(-x, kind="stable"):
+        lengths = [int(v) for v in patterns[k] if v]
+        n = int(min(np.floor(x[k] + 1e-9), min(left[v] // lengths.count(v) for v in lengths)))
+        if n > 0:
+            plan.append((tuple(lengths), n))
+            for v in lengths:
+                left[v] -= n
     open_by_space: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     spaces: list[int] = []
 

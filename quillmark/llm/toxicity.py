@@ -88,9 +88,11 @@ def _train(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, use: np.nd
     return model.dense()
 
 
-def fit_rows(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 3) -> Chain:
-    """A chain over the columns of labels; each row holds the distinct features of a text."""
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, epochs: int | None = None) -> Chain:
+    """A chain over the columns of labels; each row holds the distinct features of a text. Without a number of epochs
+    there are three, and up to 20 for few rows."""
     n, links = labels.shape
+    epochs = epochs or min(20, max(3, 24_000 // max(1, n)))
     chain = Chain(links)
     before = np.zeros((n, links))
     fold = np.arange(n) % FOLDS
