@@ -50,7 +50,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, row = starts[first], ends[first], row[first]
     out, of = [span_hashes(low, starts, ends)], [row]
     for n in BEGINNINGS:
-        at = np.flatnonzero(ends - starts > n)
+        at = np.flatnonzero(ends - starts >= n)
         out.append(mix(span_hashes(low, starts[at], starts[at] + n) + U64(n)))
         of.append(row[at])
     feature, _, cut = distinct_per_row((np.concatenate(out) >> U64(64 - BITS)).astype(np.int64), np.concatenate(of), rows, BITS)
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories: di
     return Chain(links, np.frombuffer(bytes(found[0][0]), np.float32).reshape(chain.weights.shape))
 
 
-def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float = 0.25, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float = 0.2, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Per document: doc_id, one probability column per link, and rejected (the last one exceeds the threshold).
     With keep, all columns of docs stay and only `rejected` is added under the name __rejected."""
     ship_package(docs.sparkSession)
@@ -166,7 +166,7 @@ def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float = 0.
     return narrow(docs, id_col, text_col).mapInArrow(each, "doc_id long, " + "".join(f"{c} double, " for c in names) + "rejected boolean")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.25) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.2) -> DataFrame:
     """The documents that the chain does not reject, with their columns."""
     rows = score(docs, fit(docs, labels), [*CATEGORIES, "toxic"], threshold, keep=True)
     return rows.where("not __rejected").drop("__rejected")
