@@ -9,7 +9,7 @@ Labels may come as one column per category. Where only an overall label is there
 makes category labels for training: a toxic document is of a category if it has one of its seed words. The last link
 of the chain is the overall label, learned from `labels.toxic` alone.
 
-Null text is empty and gets the bias alone. Repeated rows get equal scores. Without usable labels all probabilities
+Null text is empty; a text without words gets the bias alone and is never rejected. Repeated rows get equal scores. Without usable labels all probabilities
 are near 0 and nothing is rejected. Extra columns are ignored; an empty table gives no
 rows.
 """
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories: di
 
 
 def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float = 0.2, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Per document: doc_id, one probability column per link, and rejected (the last one exceeds the threshold).
+    """Per document: doc_id, one probability column per link, and rejected (the last one exceeds the threshold, and the text has words).
     With keep, all columns of docs stay and only `rejected` is added under the name __rejected."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain.weights)  # of a fixed size
@@ -150,15 +150,18 @@ def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float = 0.
         own = Chain(links, shared.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column("__text" if keep else "text"))
-            p = [np.empty((0, links))]
+            p, words = [np.empty((0, links))], [np.empty(0, bool)]
             for a, b in steps(offsets):
-                p.append(own.predict(*features(*take_rows(data, offsets, a, b))))
+                feature, cut = features(*take_rows(data, offsets, a, b))
+                p.append(own.predict(feature, cut))
+                words.append(np.diff(cut) > 0)
             p = np.concatenate(p)
+            rejected = pa.array((p[:, -1] > threshold) & np.concatenate(words))
             if keep:
                 others = [(c, x) for c, x in zip(batch.schema.names, batch.columns, strict=True) if c != "__text"]
-                yield pa.RecordBatch.from_arrays([*(x for _, x in others), pa.array(p[:, -1] > threshold)], names=[*(c for c, _ in others), "__rejected"])
+                yield pa.RecordBatch.from_arrays([*(x for _, x in others), rejected], names=[*(c for c, _ in others), "__rejected"])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k].copy()) for k in range(links)), pa.array(p[:, -1] > threshold)], names=["doc_id", *names, "rejected"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k].copy()) for k in range(links)), rejected], names=["doc_id", *names, "rejected"])
 
     if keep:
         schema = docs.withColumn("__rejected", F.lit(True)).schema
