@@ -43,7 +43,7 @@ def verify_floor(claims: DataFrame, sources: DataFrame) -> DataFrame:
     agg = sources.groupBy("claim_id").agg(F.countDistinct("source_name").alias("n_sources"), F.bool_or(F.col("source_tier") == 1).alias("primary"), F.bool_and(F.col("source_tier") == 3).alias("signal"))
     j = claims.join(agg, "claim_id", "left")
     n, p = F.coalesce("n_sources", F.lit(0)), F.coalesce("primary", F.lit(False))
-    note = F.when(n == 0, "no valid source").when(p | (n >= 2), "").when(F.col("signal"), "single social source").otherwise("single source")
+    note = F.when(n == 0, "no valid source").when(p | (n >= 2), "").when(F.col("signal"), "single unverified social/signal source").otherwise("single-source, no primary anchor")
     return j.select("claim_id", n.alias("n_sources"), p.alias("tier_1_backed"), (p | (n >= 2)).alias("verified"), note.alias("note"))
 
 

@@ -34,11 +34,19 @@ def query(oracle: str | None = None):
     return add
 
 
+def _load() -> None:
+    from quillmark.plans import story_queries  # registers its queries; it needs this module first
+
+    assert story_queries
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
@@ -444,7 +452,7 @@ def local_claims(spark, d):
 
 
 @query("""SELECT claim_id, coalesce(n, 0) AS n_sources, coalesce(p, FALSE) AS tier_1_backed, coalesce(p, FALSE) OR coalesce(n, 0) >= 2 AS verified,
-  CASE WHEN coalesce(n, 0) = 0 THEN 'no valid source' WHEN p OR n >= 2 THEN '' WHEN g THEN 'single social source' ELSE 'single source' END AS note
+  CASE WHEN coalesce(n, 0) = 0 THEN 'no valid source' WHEN p OR n >= 2 THEN '' WHEN g THEN 'single unverified social/signal source' ELSE 'single-source, no primary anchor' END AS note
   FROM claims LEFT JOIN (SELECT claim_id, count(DISTINCT source_name) AS n, bool_or(source_tier = 1) AS p, bool_and(source_tier = 3) AS g FROM claim_sources JOIN raw_items ON raw_item_id = id GROUP BY 1) USING (claim_id)""")
 def verify_floor(spark, d):
     named = A.claim_sources(spark, d).join(A.raw_items(spark, d), F.col("raw_item_id") == F.col("id")).select("claim_id", "source_name", "source_tier")
