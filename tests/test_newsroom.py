@@ -107,3 +107,30 @@ def test_backends(spark):
         assert (r.answer, r.error) == (("GOOD", None) if p == "good" else (None, "ValueError: no"))
     assert models.answered(rows, F.col("p"), None).where("answer is not null or error is not null").count() == 0
     assert models.route({"default": Echo()}, "judge").name == "echo" and models.route({}, "judge") is None
+
+
+def test_edition_lines_are_numbered_by_importance(spark):
+    from quillmark.operators.stories import edition_lines
+
+    rows = [(1, "Low one", 1.0, "b1", "report"), (2, "None", None, "b2", "debate"), (3, "Top one", 5.0, "b3", "report")]
+    got = edition_lines(spark.createDataFrame(rows, "story_id long, headline string, importance_score double, body string, mode string"), "2026-01-01").orderBy("line_no").collect()
+    assert [r.text for r in got] == [
+        "# Edition 2026-01-01", "", "1. [Top one](#top-one) (report)", "2. [Low one](#low-one) (report)", "3. [None](#none) (debate)",
+        "\n## Top one\n\nb3", "\n## Low one\n\nb1", "\n## None\n\nb2",
+    ]
+    assert [r.line_no for r in got] == list(range(1, 9))
+
+
+def test_page_text_keeps_blocks_outside_chrome():
+    from quillmark.sources.feeds import page_text
+
+    page = "<nav><p>menu</p></nav><h1>Head</h1><p>One <b>two</b>\n three &amp; four</p><script>x()</script><footer><p>foot</p></footer><p></p>"
+    assert page_text(page) == "Head\n\nOne two three & four"
+    assert page_text(None) == page_text("") == ""
+
+
+def test_duplicates_and_repairs_of_empty_tables(spark):
+    s = spark.createDataFrame([], "story_id long, headline string, dek string, editor_approved boolean, editor_notes string")
+    assert audit.reject_duplicates(s, spark.createDataFrame([], "dropped long, kept long")).count() == 0
+    checks = "story_id long, coherent boolean, reason string, error string, new_headline string, new_dek string, rewrite_error string, coherent_again boolean, reason_again string, error_again string"
+    assert audit.repair(s, spark.createDataFrame([], checks)).count() == 0
