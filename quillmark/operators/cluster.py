@@ -44,6 +44,24 @@ def sparse_pairs(weights: DataFrame, id_col: str, threshold: float) -> DataFrame
     return sums.where(F.col("similarity") >= threshold)
 
 
+def rare_pairs(weights: DataFrame, id_col: str, threshold: float) -> DataFrame:
+    """Pairs of sparse unit vectors (id, bucket, weight) as sparse_pairs finds them, by an inverted index of their rarest buckets; for many buckets.
+
+    Of a vector's buckets, the most frequent ones whose part is shorter than the threshold are no meeting place: two
+    vectors that share none of their other buckets have a smaller product (the rest of one of them times a unit vector).
+    Pairs that meet are decided on all their buckets."""
+    frequency = weights.groupBy("bucket").agg(F.count("*").alias("df"))
+    often = Window.partitionBy(id_col).orderBy(F.desc("df"), "bucket").rowsBetween(Window.unboundedPreceding, 0)
+    rest = weights.join(frequency, "bucket").withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(often))
+    # half a unit of the sixth digit, which rounding may add, and what sums may be off by
+    rare = rest.where(F.col("rest") >= max(threshold - 1e-6, 0.0) ** 2).select(F.col(id_col).alias("i"), "bucket")
+    met = rare.join(rare.withColumnRenamed("i", "j"), "bucket").where("i < j").select("i", "j").distinct()
+    a = weights.select(F.col(id_col).alias("i"), "bucket", F.col("weight").alias("a"))
+    b = weights.select(F.col(id_col).alias("j"), "bucket", F.col("weight").alias("b"))
+    sums = met.join(a, "i").join(b, ["j", "bucket"]).groupBy("i", "j").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("similarity"))
+    return sums.where(F.col("similarity") >= threshold)
+
+
 def components(pairs: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     """(id, component) of all nodes; those without a pair are components of their own."""
     found = connected_components(pairs.select(F.col(pairs.columns[0]).alias("src"), F.col(pairs.columns[1]).alias("dst")), "clusters")

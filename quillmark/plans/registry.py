@@ -13,6 +13,7 @@ from quillmark.operators import claims as C
 from quillmark.operators import cluster, rank, stories, tables
 from quillmark.plans.adapters import NOW, PRELUDE, SAMPLE_WORDS
 from quillmark.plans import adapters as A
+from quillmark.runtime import materialize
 from quillmark.sources import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,6 +369,43 @@ def cluster_events(spark, d):
     return cluster.cluster_events(A.raw_items(spark, d), _text_pairs(spark, d))
 
 
+# the four queries above look at the first 2000 characters, as their SQL does; these are the same over whole texts
+
+_WHOLE_BUCKETS = 1 << 20
+
+
+def _whole_terms(spark, d) -> DataFrame:
+    return materialize(V.hashed_terms(A.raw_items(spark, d), "id", F.col("content"), _WHOLE_BUCKETS), "whole-terms")
+
+
+def _whole_pairs(spark, d) -> DataFrame:
+    return cluster.rare_pairs(_whole_terms(spark, d), "id", 0.9)
+
+
+def _whole_text(name: str) -> str:
+    return _ORACLES[name].removeprefix(PRELUDE).replace("substr(content, 1, 2000)", "content").replace("% 1024", f"% {_WHOLE_BUCKETS}")
+
+
+@query(_whole_text("feature_hash_tf"))
+def feature_hash_tf_whole(spark, d):
+    return V.hashed_terms(A.raw_items(spark, d), "id", F.col("content"), _WHOLE_BUCKETS).select("id", "bucket", F.round("weight", 9).alias("weight"))
+
+
+@query(_whole_text("sparse_cosine_pairs"))
+def sparse_cosine_pairs_whole(spark, d):
+    return _whole_pairs(spark, d)
+
+
+@query(_whole_text("connected_components"))
+def connected_components_whole(spark, d):
+    return cluster.components(_whole_pairs(spark, d), A.raw_items(spark, d), "id")
+
+
+@query(_whole_text("cluster_events"))
+def cluster_events_whole(spark, d):
+    return cluster.cluster_events(A.raw_items(spark, d), _whole_pairs(spark, d))
+
+
 @query("SELECT event_id, raw_item_id AS representative FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY source_tier, coalesce(published_at, fetched_at) DESC, id) AS k FROM event_items JOIN raw_items ON raw_item_id = id) WHERE k = 1")
 def representative_argmin(spark, d):
     return cluster.representative(_members(spark, d), "event_id")
