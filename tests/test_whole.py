@@ -6,8 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from quillmark.functions import vector as V
-from quillmark.operators import cluster
-from quillmark.plans import registry
+from quillmark.operators import cluster, tables
+from quillmark.plans import adapters, registry
 
 
 def documents(tmp_path, spark, texts):
@@ -46,3 +46,25 @@ def test_rare_pairs_equal_brute_force(spark):
                     expected[(i, j)] = s
         got = cluster.rare_pairs(weights, "id", least).collect()
         assert {(r.i, r.j): r.similarity for r in got} == expected and len(got) == len(expected)
+
+
+def test_whole_views_hold_every_row(spark, tmp_path):
+    d = documents(tmp_path, spark, [f"text {i}" for i in range(1500)])
+    both = adapters.whole(lambda spark, d: (adapters.event_items(spark, d), adapters.events(spark, d), adapters.stories(spark, d), adapters.claims(spark, d), adapters.claim_sources(spark, d)))
+    items, events, stories, claims, cited = both(spark, d)
+    assert {r.raw_item_id for r in items.collect()} == set(range(1500)) == {r.claim_id for r in claims.collect()} == {r.claim_id for r in cited.collect()}
+    assert {r.event_id for r in events.collect()} == {r.event_id for r in items.collect()} == {r.story_id for r in stories.collect()}
+    assert items.groupBy("event_id").count().agg(F.max("count")).head()[0] == 1440
+    assert sum(r.num_items for r in registry.queries()["event_features_whole"](spark, d).collect()) == 1500
+    assert not adapters._WHOLE.get()
+
+
+def test_rows_without_a_partner(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "event_id long, headline string")
+    news = spark.createDataFrame([(2, "c"), (3, "d")], "event_id long, headline string")
+    assert sorted(map(tuple, tables.upsert(old, news, ["event_id"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    from quillmark.operators import claims
+
+    c = spark.createDataFrame([(1,), (2,)], "claim_id long")
+    cited = spark.createDataFrame([(1, "pib", 1)], "claim_id long, source_name string, source_tier int")
+    assert {r.claim_id: (r.n_sources, r.verified, r.note) for r in claims.verify_floor(c, cited).collect()} == {1: (1, True, ""), 2: (0, False, "no valid source")}
