@@ -1,6 +1,9 @@
 """License scans with DataFrame operations only.
 
-Units are the lines of a document (headers) and, of a licence file, its whole text too. A unit and each template become
+Units are the lines of a document (headers), blocks of it, and, of a licence file, its whole text too. Blocks are runs of
+consecutive pieces, where a piece is a sentence or the part of one that stands on a line: so notices among other words of
+a line and notices wrapped over lines are units. A block has at most LONGEST words and begins and ends with a piece that
+shares a word with a template; without such an end it would only score less. A unit and each template become
 sparse TF-IDF vectors over words that are no stop words, and are compared by cosine. Document frequencies are counted
 over all documents for the words of the templates; other words count as unseen, with the highest weight. Only units
 that share a word with a template are vectors at all, the others have cosine 0.
@@ -17,6 +20,7 @@ table gives no rows.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +52,29 @@ TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD = 0.75
 #: File names that make a file a licence file.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
+#: What ends a piece: a line, or a sentence in it.
+PIECE = r"\n|(?<=[.!?;:])\s+"
+#: Words of a block that can reach the threshold: a template's are a share of threshold squared of it at least, as long as
+#: its other words weigh no less than the template's.
+LONGEST = math.ceil(max(len([w for w in re.findall(TOKEN, t.lower()) if w not in STOP_WORDS]) for _, t in TEMPLATES) / THRESHOLD**2)
 
 
 def _tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0), lambda t: ~t.isin(STOP_WORDS))
 
 
+def _blocks(rows: DataFrame, key: list[str], vocabulary: Column, longest: int) -> DataFrame:
+    """(key, tokens): the words of all blocks of at most `longest` words. Arrays that lambdas read are outputs of explode,
+    else they would be computed again for every element."""
+    pieces = F.filter(F.transform(F.split("text", PIECE), _tokens), lambda p: F.size(p) > 0)
+    cut = rows.select(*key, F.explode(F.array(pieces)).alias("pieces"))
+    runs = F.transform("pieces", lambda p, i: F.when(F.arrays_overlap(p, vocabulary), F.slice("pieces", i + 1, F.lit(longest))))
+    begun = cut.select(*key, F.explode(F.filter(runs, lambda r: r.isNotNull())).alias("run"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("run")), lambda k: F.arrays_overlap(F.element_at("run", k), vocabulary))
+    blocks = F.transform(ends, lambda k: F.flatten(F.slice("run", F.lit(1), k)))
+    return begun.select(*key, F.explode(blocks).alias("tokens")).where(F.size("tokens") <= longest)
+
+
 def _template_table(spark) -> DataFrame:
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, words string")
     return rows.select("template", "license", F.explode(_tokens(F.col("words"))).alias("token")).groupBy("template", "license", "token").agg(F.count("*").alias("tf"))
@@ -77,6 +98,7 @@ def scan_licenses(docs: DataFrame, path: Column, is_license_file: Column | None
     units = F.when(F.col("is_file"), F.concat(F.array("text"), lines)).otherwise(lines)
     vocabulary_array = F.array(*map(F.lit, sorted(vocabulary)))
     tokens = rows.select(*key, F.explode(F.transform(units, _tokens)).alias("tokens"))
+    tokens = tokens.unionByName(_blocks(rows, key, vocabulary_array, math.ceil(LONGEST * (THRESHOLD / threshold) ** 2)))
     hits = tokens.where(F.arrays_overlap("tokens", vocabulary_array)).select(*key, F.xxhash64(*key, "tokens").alias("unit"), "tokens")
     hits = materialize(hits, "license-units")
 

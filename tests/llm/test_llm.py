@@ -332,3 +332,19 @@ def test_licenses(spark):
     assert scan_licenses(df.limit(0), F.col("path")).count() == 0
     plan = scan_licenses(df, F.col("path"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_licenses_in_wrapped_headers_and_among_other_words(spark):
+    texts = [
+        "# Redistribution and use in source and binary forms, with or\n# without modification, are permitted provided that the\n# following conditions are met:\n#\ncode()",
+        "Copyright 2021 Acme Corp. All rights reserved. Contact legal for more.",
+        "x = 1; // see below\n/*\n * Copyright 2020 Some People. Permission is hereby granted, free\n * of charge, to any person obtaining a copy of this software\n * and associated documentation files. Other words follow here.\n */",
+        "/* This Source Code Form is\n\n * subject to the terms of the Mozilla\n * Public License, v. 2.0. */",
+        "\n".join("This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation either version 3 of the License or any later version".split()),
+        "The mit of words, and other\nreserved seats. Rights of way\nand so on.",
+        "Licensed to all. " * 3000,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("path", F.concat(F.lit("d/f"), "doc_id", F.lit(".c")))
+    got = {r.doc_id: (r.license, r.origin) for r in scan_licenses(df, F.col("path")).collect()}
+    header = lambda name: (name, "header")
+    assert got == {0: header("BSD-3-Clause"), 1: header("Proprietary"), 2: header("MIT"), 3: header("MPL-2.0"), 4: header("GPL-3.0"), 5: (None, None), 6: (None, None)}
