@@ -332,6 +332,14 @@ def centroid_topk(spark, d):
     return near.select("label", "id", "distance", F.col("rank").cast("long").alias("rank"))
 
 
+@query(_ORACLES["centroid_topk"].replace(" WHERE label < 4", ""))
+def centroid_topk_whole(spark, d):
+    """centroid_topk has the first four labels, as its SQL does; this one has all of them."""
+    e = A.table(spark, d, "embeddings")
+    near = cluster.nearest(V.centroids(e, "label", "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"), "label", 0.95, 3)
+    return near.select("label", "id", "distance", F.col("rank").cast("long").alias("rank"))
+
+
 _TF = """t AS (SELECT id, list_filter(regexp_extract_all(lower(substr(content, 1, 2000)), '[\\p{L}\\p{N}_]{2,}'), lambda w: w NOT IN (%s)) AS t FROM raw_items),
 g AS (SELECT id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda k: t[k] || ' ' || t[k + 1]))) AS gram FROM t),
 c AS (SELECT id, CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) %% 1024 AS bucket, count(*) AS n FROM g GROUP BY 1, 2),

@@ -68,3 +68,10 @@ def test_rows_without_a_partner(spark):
     c = spark.createDataFrame([(1,), (2,)], "claim_id long")
     cited = spark.createDataFrame([(1, "pib", 1)], "claim_id long, source_name string, source_tier int")
     assert {r.claim_id: (r.n_sources, r.verified, r.note) for r in claims.verify_floor(c, cited).collect()} == {1: (1, True, ""), 2: (0, False, "no valid source")}
+
+
+def test_every_label_has_a_centroid(spark, tmp_path):
+    rows = [(i, [float(i % 10 == k) + 0.01 for k in range(10)], i % 10) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.queries()["centroid_topk_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.label, r.id) for r in got) == sorted((k, k + 10 * n) for k in range(10) for n in range(3))
