@@ -21,9 +21,10 @@ def local_claims(docs: DataFrame, key: str = "event_id") -> DataFrame:
     What is picked depends on what was, so an event's candidate sentences (already filtered) are folded in order."""
     found = docs.select(key, "source_tier", F.col("id").cast("string").alias("source_id"), F.posexplode(X.sentences(F.trim("text"))).alias("at", "s"))
     found = found.where(F.length("s").between(40, 320) & ~X.is_boilerplate(F.col("s")))
-    # a doc can use no more of its sentences than three and those that others have picked
+    # a sentence counts where it stands first; of those a doc can use no more than three and those that others have picked
+    found = found.groupBy(key, "source_tier", "source_id", F.lower("s").alias("low")).agg(F.min("at").alias("at"), F.min_by("s", "at").alias("s"))
     first = Window.partitionBy(key, "source_tier", "source_id").orderBy("at")
-    found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= PER_DOC + PER_EVENT)
+    found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= PER_DOC + PER_EVENT).drop("low")
     empty = F.array().cast("array<struct<s:string,id:string>>")
 
     def pick(state: Column, x: Column) -> Column:

@@ -67,6 +67,13 @@ def test_local_claims_pick_what_a_cap_had_skipped(spark):
     assert got == [(0, s[0], "1"), (1, s[1], "1"), (2, s[2], "1"), (3, s[3], "2"), (4, s[5], "2")]
 
 
+def test_local_claims_read_on_after_repeated_lines(spark):
+    a, b, c = (f"Sentence {x} is long enough to be picked by the fold of claims." for x in "abc")
+    docs = spark.createDataFrame([(1, 1, 1, " ".join([a, a.upper()] * 12 + [b, c])), (2, 1, 1, a), (2, 2, 2, " ".join([a] * 20 + [b]))], "event_id long, id long, source_tier int, text string")
+    got = sorted((r.event_id, r.ordinal, r.claim_text, r.source_id) for r in claims.local_claims(docs).collect())
+    assert got == [(1, 0, a, "1"), (1, 1, b, "1"), (1, 2, c, "1"), (2, 0, a, "1"), (2, 1, b, "2")]
+
+
 def test_noisy_json():
     assert claims.first_json('x ```json {"a": "}"} ```') == '{"a": "}"}'
     assert claims.first_json("none {") is None
