@@ -64,6 +64,22 @@ def find_exponent(sources: DataFrame, budget: float | None, target_entropy: floa
     return round(low if up else high, 9)
 
 
+def source_quotas(sources: DataFrame, alpha: float, budget: int | str | None) -> DataFrame:
+    """(source, weight, source_tokens, blocks, quota) of a table (source, tokens, docs, total). Quotas come from whole
+    shares. Only without a budget they come from weights of 9 digits, as in the SQL, where these are not 0."""
+    every = Window.partitionBy()  # one row per source
+    p = F.pow(F.col("tokens") / F.col("total"), F.lit(alpha))
+    plan = sources.select("source", "tokens", "docs", "total", p.alias("p")).withColumn("share", F.col("p") / F.sum("p").over(every))
+    whole = F.ceil(F.max(F.col("tokens") / F.col("share")).over(every)) if budget == "cover" else F.col("total") if budget is None else F.lit(budget)
+    weight = F.round("share", 9)
+    quota = F.floor(F.round(whole * F.col("share"), 6))  # rounded, so that a whole number stays one
+    if budget is None:
+        quota = F.when(weight > 0, F.floor(whole * weight)).otherwise(quota)
+    if budget == "cover":
+        quota = F.greatest(quota, F.col("tokens"))
+    return plan.select("source", weight.alias("weight"), F.col("tokens").alias("source_tokens"), F.ceil(F.col("docs") / BLOCK).alias("blocks"), quota.alias("quota"))
+
+
 def mix_sources(
     docs: DataFrame, budget: int | str | None = None, target_entropy: float | None = None, max_repetition: float | None = None,
     seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -80,14 +96,7 @@ def mix_sources(
     first = sources.head(1)
     total = first[0]["total"] if first else 0
     alpha = find_exponent(sources, None if budget == "cover" else (total if budget is None else budget), target_entropy, max_repetition) if first else 1.0
-    every = Window.partitionBy()  # one row per source
-    p = F.pow(F.col("tokens") / F.col("total"), F.lit(alpha))
-    plan = sources.select("source", "tokens", "docs", p.alias("p")).select("*", F.round(F.col("p") / F.sum("p").over(every), 9).alias("weight"))
-    whole = F.ceil(F.max(F.col("tokens") / F.col("weight")).over(every)) if budget == "cover" else F.lit(total if budget is None else budget)
-    quota = F.floor(whole * F.col("weight"))
-    if budget == "cover":
-        quota = F.greatest(quota, F.col("tokens"))
-    plan = plan.select("source", "weight", F.col("tokens").alias("source_tokens"), F.ceil(F.col("docs") / BLOCK).alias("blocks"), quota.alias("quota"))
+    plan = source_quotas(sources, alpha, budget)
     plan = materialize(plan.select("*", F.floor(F.col("quota") / F.col("source_tokens")).alias("epochs"), (F.col("quota") % F.col("source_tokens")).alias("rest")), "mixing-plan")
 
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))

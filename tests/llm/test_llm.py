@@ -348,3 +348,11 @@ def test_licenses_in_wrapped_headers_and_among_other_words(spark):
     got = {r.doc_id: (r.license, r.origin) for r in scan_licenses(df, F.col("path")).collect()}
     header = lambda name: (name, "header")
     assert got == {0: header("BSD-3-Clause"), 1: header("Proprietary"), 2: header("MIT"), 3: header("MPL-2.0"), 4: header("GPL-3.0"), 5: (None, None), 6: (None, None)}
+
+
+def test_mixing_keeps_a_source_of_one_word_beside_billions(spark):
+    sources = spark.createDataFrame([("", 1, 1, 5_000_000_001), ("big", 5_000_000_000, 9_000, 5_000_000_001)], "source string, tokens long, docs long, total long")
+    alpha = mixing.find_exponent(sources, None, None, 1.5)
+    got = {r.source: r for r in mixing.source_quotas(sources, alpha, "cover").collect()}
+    assert got[""].weight < 1e-9 and got[""].quota == 1 and 5_000_000_000 <= got["big"].quota <= 7_500_000_001
+    assert {r.source: r.quota for r in mixing.source_quotas(sources, 1.0, None).collect()}[""] == 1
