@@ -13,19 +13,46 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillmark.functions import text as X
 
-ITEM = "struct<title:string,link:string,guid:string,description:string,pubDate:string,author:string,category:array<string>>"
-FEED = f"struct<channel:struct<title:string,item:array<{ITEM}>>>"
+ITEM = (
+    "struct<title:string,link:string,guid:string,description:string,`content:encoded`:array<string>,pubDate:string,`dc:date`:string,author:string,category:array<string>>"
+)
+ENTRY = (
+    "struct<title:string,link:array<struct<_href:string,_rel:string>>,id:string,content:array<string>,summary:string,published:string,updated:string,created:string,"
+    "author:struct<name:string>,category:array<struct<_term:string>>>"
+)
+FEED = f"struct<channel:struct<title:string,item:array<{ITEM}>>,entry:array<{ENTRY}>>"
+
+
+def _item(e: Column) -> Column:
+    """An RSS item in the form of all entries."""
+    return F.struct(
+        e["title"].alias("title"), e["link"].alias("link"), e["guid"].alias("id"), e["content:encoded"].alias("full"), e["description"].alias("teaser"),
+        F.array(e["pubDate"], e["dc:date"], F.lit(None).cast("string")).alias("dates"), e["author"].alias("author"), e["category"].alias("tags"),
+    )
+
+
+def _entry(e: Column) -> Column:
+    """An Atom entry in the form of all entries; its link is the first alternate one."""
+    link = F.get(F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+    return F.struct(
+        e["title"].alias("title"), link.alias("link"), e["id"].alias("id"), e["content"].alias("full"), e["summary"].alias("teaser"),
+        F.array(e["published"], e["updated"], e["created"]).alias("dates"), e["author"]["name"].alias("author"), F.transform(e["category"], lambda c: c["_term"]).alias("tags"),
+    )
 
 
 def parse_rss(feeds: DataFrame, max_entries: int = 100) -> DataFrame:
-    """feeds (source_name, source_tier, feed_url, xml) to raw items: the first entries, those with a link; content falls
-    back to the title; entries without either are left out."""
-    entries = feeds.select("source_name", "source_tier", "feed_url", F.posexplode(F.slice(F.from_xml("xml", FEED)["channel"]["item"], 1, max_entries)).alias("at", "e"))
+    """feeds (source_name, source_tier, feed_url, xml) of RSS or Atom to raw items: the first entries, those with a link;
+    content is the full one, else the summary, else the title; entries without any are left out."""
+    read = feeds.select("source_name", "source_tier", "feed_url", F.explode(F.array(F.from_xml("xml", FEED))).alias("feed"))
+    both = F.coalesce(F.transform("feed.channel.item", _item), F.transform("feed.entry", _entry))
+    entries = read.select("source_name", "source_tier", "feed_url", F.posexplode(F.slice(both, 1, max_entries)).alias("at", "e"))
     title = F.trim(F.coalesce(F.col("e.title"), F.lit("")))
-    body = html_to_text(F.coalesce(F.col("e.description"), F.lit("")))
-    content = F.coalesce(X.blank_to_null(body), X.blank_to_null(title))
-    raw = F.to_json(F.struct("feed_url", F.col("e.guid").alias("entry_id"), F.col("e.author").alias("author"), F.coalesce(F.col("e.category"), F.array().cast("array<string>")).alias("tags")))
-    out = entries.select("source_name", "source_tier", F.trim("e.link").alias("source_url"), title.alias("title"), content.alias("content"), X.feed_time(F.col("e.pubDate")).alias("published_at"), raw.alias("raw_data"))
+    full = html_to_text(F.array_join(F.col("e.full"), "\n\n"))
+    body = html_to_text(F.coalesce(F.col("e.teaser"), F.lit("")))
+    content = F.coalesce(X.blank_to_null(full), X.blank_to_null(body), X.blank_to_null(title))
+    raw = F.to_json(F.struct("feed_url", F.col("e.id").alias("entry_id"), F.col("e.author").alias("author"), F.coalesce(F.filter("e.tags", lambda t: t.isNotNull()), F.array().cast("array<string>")).alias("tags")))
+    published = F.coalesce(*(X.feed_time(F.col("e.dates")[k]) for k in range(3)))
+    out = entries.select("source_name", "source_tier", F.trim("e.link").alias("source_url"), title.alias("title"), content.alias("content"), published.alias("published_at"), raw.alias("raw_data"))
     return out.where("source_url is not null and source_url != '' and content is not null")
 
 

@@ -100,6 +100,17 @@ def test_rss(spark):
     assert [(r.source_url, r.content) for r in got] == [("http://a/1", "Body & more"), ("http://a/2", "Two")]
 
 
+def test_atom_and_full_content(spark):
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title><entry><title type="html">One</title><id>i1</id><link rel="self" href="http://a/s"/><link rel="alternate" href="http://a/1"/>
+    <summary>Teaser</summary><content type="html">&lt;p&gt;Whole body&lt;/p&gt;</content><updated>2024-01-01T10:00:00Z</updated><category term="x"/><author><name>Ann</name></author></entry>
+    <entry><title>Two</title><link href="http://a/2"/><summary>Only teaser</summary><published>2024-01-02T10:00:00Z</published></entry></feed>"""
+    rss = """<rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><item><title>R</title><link>http://r/1</link><description>Short</description><content:encoded><![CDATA[<p>All of it</p>]]></content:encoded></item></channel></rss>"""
+    df = spark.createDataFrame([("a", 1, "u", atom), ("r", 1, "u", rss)], "source_name string, source_tier int, feed_url string, xml string")
+    got = feeds.parse_rss(df).withColumn("at", F.col("published_at").cast("string")).orderBy("source_url").collect()
+    assert [(r.source_url, r.title, r.content, r["at"]) for r in got] == [("http://a/1", "One", "Whole body", "2024-01-01 10:00:00"), ("http://a/2", "Two", "Only teaser", "2024-01-02 10:00:00"), ("http://r/1", "R", "All of it", None)]
+    assert got[0].raw_data == '{"feed_url":"u","entry_id":"i1","author":"Ann","tags":["x"]}'
+
+
 def test_images(spark):
     html = '<meta property="og:image" content="/l.jpg"><img src="/l.jpg" alt="lead"><img src="b.jpg" width="100" height="50"><figure><img data-src="c.jpg" width="900"><figcaption>Cap <b>x</b></figcaption></figure><img src="logo.png">'
     got = feeds.image_candidates(spark.createDataFrame([(1, "http://h/p/", html)], "page_id long, url string, html string")).orderBy("at").collect()
