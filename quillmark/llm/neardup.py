@@ -6,7 +6,7 @@ Two documents are linked when 100 * |intersection| >= 85 * |union|, and componen
 1. One scan hashes words and shingles, and takes 2 x T x K minima per document: two collections A and B of T
    hashes, each of K minima. Table (i, j) of the T * T tables has the key (A_i, B_j), so T * T tables of 2K minima
    cost 2TK minima, about the square root of what separate tables would take. With T = 16 and K = 3 a pair at the
-   threshold is missed with probability 5e-7.
+   threshold of 85 meets in no table with probability 5e-7.
 2. Documents with equal sets become one node (grouped by a 128-bit set hash), so copies are never paired.
 3. Nodes that share some A_i meet in one bucket, where tables (i, j) are formed by B_j. Buckets over BUCKET nodes
    are dealt out again by (A_i, B_j); tables still over it are joined as stars, which loses no pair.
@@ -22,6 +22,7 @@ each other and share a component. Extra columns are ignored; an empty table give
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,14 @@ from quillmark.llm.textvec import LOWER, SPACE, U64, mix, span_hashes, steps, ta
 T, K = 16, 3
 #: Nodes of a bucket that one task compares, and shingles of a cluster that one task verifies.
 BUCKET, CLUSTER_SHINGLES = 4096, 1_500_000
-#: Minima of 2 * T * K that agree at least, else a pair is given up: 5.3 standard deviations below the mean at 0.85.
-AGREE = 63
+
+
+def agree(percent: int) -> int:
+    """Minima of 2 * T * K that agree at least, else a pair is given up: 5.3 standard deviations below the mean of a pair
+    at the threshold."""
+    p, n = percent / 100, 2 * T * K
+    return max(0, math.floor(n * p - 5.3 * math.sqrt(n * p * (1 - p))))
+
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 1 << 32, 2 * T * K, dtype=np.uint32)
@@ -105,7 +112,7 @@ def _unite(label: np.ndarray, x: int, others: np.ndarray) -> None:
 
 def _join_bucket(ids: np.ndarray, n: np.ndarray, b: np.ndarray, sig: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of a bucket that share a table and may reach the threshold."""
-    label = np.arange(len(ids))
+    label, least = np.arange(len(ids)), agree(percent)
     for j in range(b.shape[1]):
         order = np.argsort(b[:, j], kind="stable")
         cut = np.flatnonzero(np.diff(b[order, j])) + 1
@@ -113,7 +120,7 @@ def _join_bucket(ids: np.ndarray, n: np.ndarray, b: np.ndarray, sig: np.ndarray,
             for k in range(len(group) - 1):
                 x, rest = group[k], group[k + 1 :]
                 rest = rest[(label[rest] != label[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))]
-                if len(rest) and len(rest := rest[(sig[rest] == sig[x]).sum(axis=1) >= AGREE]):
+                if len(rest) and len(rest := rest[(sig[rest] == sig[x]).sum(axis=1) >= least]):
                     _unite(label, x, rest)
         if (label == 0).all():
             break

@@ -356,3 +356,13 @@ def test_mixing_keeps_a_source_of_one_word_beside_billions(spark):
     got = {r.source: r for r in mixing.source_quotas(sources, alpha, "cover").collect()}
     assert got[""].weight < 1e-9 and got[""].quota == 1 and 5_000_000_000 <= got["big"].quota <= 7_500_000_001
     assert {r.source: r.quota for r in mixing.source_quotas(sources, 1.0, None).collect()}[""] == 1
+
+
+def test_agreement_follows_the_threshold():
+    from math import comb
+
+    n = 2 * neardup.T * neardup.K
+    for percent in (70, 75, 80, 85):
+        p = percent / 100
+        assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(neardup.agree(percent))) < 1e-6
+    assert neardup.agree(85) == 63
