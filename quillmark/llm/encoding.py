@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from quillmark.llm.textvec import span_hashes, steps, take_rows
+from quillmark.llm.textvec import STEP_BYTES, span_hashes, steps, take_rows
 
 #: Pieces, and ids of pieces, that a worker keeps before it starts anew.
 KEEP_PIECES, KEEP_IDS = 3_000_000, 1 << 24
@@ -35,14 +35,14 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts by one tokenizer file, with special tokens read as ordinary text."""
+    """Ids of texts by one tokenizer file, as the library gives them without special tokens around a text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task per core already
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content.encode().lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     @property
@@ -96,14 +96,56 @@ class Encoder:
             self._forget()
         return out, rows
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """The texts that may hold an added token; the search is over all texts in a row at once."""
+        raw, found = data.tobytes().lower(), set()
+        for token in self._added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, side="right")) - 1
+                if at + len(token) <= offsets[row + 1]:
+                    found.add(row)
+                    at = raw.find(token, int(offsets[row + 1]))
+                else:
+                    at = raw.find(token, at + 1)
+        return sorted(found)
+
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one text, in parts of about a megabyte that begin with a piece."""
+        out, a, size = [], 0, STEP_BYTES
+        while a < len(data):
+            part = data[a : a + size]
+            last = int(piece_starts(part, np.array([0, len(part)]))[-1]) if a + size < len(data) else len(part)
+            if last:
+                out.append(self.encode_bytes(part[:last], np.array([0, last]))[0])
+                a, size = a + last, STEP_BYTES
+            else:
+                size *= 2  # a piece longer than that
+        return np.concatenate(out) if out else np.empty(0, np.uint32)
+
     def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Row ranges [a, b) of about a megabyte with their ids and id offsets."""
         for a, b in steps(offsets):
-            yield (a, b, *self.encode_bytes(*take_rows(data, offsets, a, b)))
+            own, cut = take_rows(data, offsets, a, b)
+            whole = self._whole(own, cut)
+            begin = 0
+            for end in [*whole, b - a]:
+                if end > begin:
+                    part = take_rows(own, cut, begin, end)
+                    if end - begin == 1 and len(part[0]) > 2 * STEP_BYTES:
+                        ids = self._long(part[0])
+                        yield a + begin, a + end, ids, np.array([0, len(ids)])
+                    else:
+                        yield (a + begin, a + end, *self.encode_bytes(*part))
+                if end < b - a:
+                    text = own[cut[end] : cut[end + 1]].tobytes().decode("utf-8", "replace")
+                    ids = np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                    yield a + end, a + end + 1, ids, np.array([0, len(ids)])
+                begin = end + 1
 
     def encode(self, text: str) -> np.ndarray:
         raw = np.frombuffer(text.encode(), np.uint8)
-        return self.encode_bytes(raw, np.array([0, len(raw)]))[0]
+        return np.concatenate([np.empty(0, np.uint32), *(ids for _, _, ids, _ in self.encode_rows(raw, np.array([0, len(raw)])))])
 
 
 def _merged(a: tuple, b: tuple) -> tuple:
