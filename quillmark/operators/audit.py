@@ -93,7 +93,7 @@ def assemble(events: DataFrame, claims: DataFrame, docs: DataFrame) -> DataFrame
     points, known = F.transform("claims", bullet), F.transform("good", bullet)
     doubtful = F.transform("flagged", lambda c: F.concat(bullet(c), F.lit(" _("), F.coalesce(c["note"], F.lit("")), F.lit(")_")))
     argued = F.when(F.trim(F.coalesce("perspective", F.lit(""))) == "", "_No debate could be constructed._").otherwise(F.trim("perspective"))
-    as_debate = F.concat(F.array(F.lit(AS_DEBATE), F.lit(""), F.lit("## Debate"), argued, F.lit("")), _section("## Reported points (grounded, unverified)", points, "- _No grounded points._"), _prose("## Context", F.col("context")))
+    as_debate = F.concat(F.array(F.lit(AS_DEBATE), F.lit(""), F.lit("## Debate"), argued, F.lit("")), _section("## Reported points (sourced, unverified)", points, "- _No sourced points._"), _prose("## Context", F.col("context")))
     as_report = F.concat(
         _section("## What we know", known, "- _No claims cleared verification._"), _section("## Flagged — single-source / unverified", doubtful),
         _prose("## Context", F.col("context")), _prose("## Perspectives", F.col("perspective")),
@@ -104,10 +104,10 @@ def assemble(events: DataFrame, claims: DataFrame, docs: DataFrame) -> DataFrame
 
     approved = F.col("n") >= 1
     notes = F.concat_ws(
-        "; ", F.concat(F.lit("mode="), "mode"), F.when(F.col("n_cut") > 0, F.format_string("cut %d unsupported/ungrounded claim(s)", "n_cut")),
+        "; ", F.concat(F.lit("mode="), "mode"), F.when(F.col("n_cut") > 0, F.format_string("cut %d unsupported/unsourced claim(s)", "n_cut")),
         F.when(~debate & (F.size("flagged") > 0), F.format_string("%d claim(s) single-source (kept, marked)", F.size("flagged"))),
-        F.when(debate & approved, F.format_string("presented as debate on %d grounded point(s)", "n")).when(debate, "rejected: no grounded points to debate")
-        .when(approved, F.format_string("approved on %d grounded claim(s) (%d cross-source verified)", F.col("n"), F.size("good"))).otherwise("rejected: no grounded claims survived hallucination audit"),
+        F.when(debate & approved, F.format_string("presented as debate on %d sourced point(s)", "n")).when(debate, "rejected: no sourced points to debate")
+        .when(approved, F.format_string("approved on %d sourced claim(s) (%d cross-source verified)", F.col("n"), F.size("good"))).otherwise("rejected: no sourced claims survived hallucination audit"),
     )
     report = local_report(F.col("title"), F.col("claims"))
     final = F.when(~debate & approved, report).otherwise(body)

@@ -14,8 +14,8 @@ from quillmark.functions import text as X
 # Wordings that results must equal.
 TIER_NAMES = ("primary", "wire", "signal")
 NO_CLAIMS = "This story is reconstructed from the ingested sources; no verified claims are available."
-NO_FACTS = "- (no grounded facts available)"
-NOTHING_REPORTED = "No grounded facts were reported."
+NO_FACTS = "- (no sourced facts available)"
+NOTHING_REPORTED = "No sourced facts were reported."
 LIMITED = "Background is limited to what these sources report; no outside information has been added."
 SIDES = ("What is being reported", "Why it remains unverified")
 SUMMARIZES = "The reporting summarizes what the cited outlets say:\n"

@@ -25,9 +25,9 @@ def test_report_and_debate(spark):
     assert set(out) == {0, 1}
     assert out[0].mode == "report" and out[0].body_markdown == f"Title 0\n\n{LONG.strip()[:-1]} (pib)."
     assert "## What we know\n- " + LONG.strip() + " — [pib](u1)\n" in out[0].audited_markdown and out[0].audited_markdown.endswith("- [ap]() — tier 2\n")
-    assert out[0].editor_notes == "mode=report; approved on 1 grounded claim(s) (1 cross-source verified)"
+    assert out[0].editor_notes == "mode=report; approved on 1 sourced claim(s) (1 cross-source verified)"
     assert out[1].mode == "debate" and out[1].dek == "Contested: 1 outlet(s), no primary source." and "treat with caution" in out[1].body_markdown
-    assert "presented as debate on 1 grounded point(s)" in out[1].editor_notes
+    assert "presented as debate on 1 sourced point(s)" in out[1].editor_notes
 
 
 def test_no_claims_are_rejected(spark):
