@@ -32,24 +32,53 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
+    """The folder that the driver and all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
 
-    Only where the session has none (tests, a single machine) is a temporary folder chosen and set.
+    Where there is neither, a temporary folder is chosen, but only on a single machine; a cluster's machines would each
+    write to a folder of their own.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    sc = spark.sparkContext
     own = getattr(sc, "_quillmark_scratch", None)
     if own is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="quillmark-shared-")
         sc._quillmark_scratch = own
     return own
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/quillmark/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder; remembered for release()."""
+    path = f"{shared_dir(spark)}/quillmark/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch(spark).append(path)
+    return path
+
+
+def _scratch(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_quillmark_paths"):
+        sc._quillmark_paths = []
+    return sc._quillmark_paths
+
+
+def mark(spark: SparkSession) -> int:
+    """A point in time for release()."""
+    return len(_scratch(spark))
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the scratch tables and files made since a mark, but for the paths to keep.
+
+    Results of operators read such tables; call this when what follows no longer reads any of them.
+    """
+    paths = _scratch(spark)
+    for path in paths[since:]:
+        if path not in keep:
+            delete_path(spark, path)
+    paths[since:] = [p for p in paths[since:] if p in keep]
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -75,3 +104,5 @@ def drop_tables(*tables: DataFrame) -> None:
     """Deletes tables made by materialize that nothing will read any more."""
     for t in tables:
         delete_path(t.sparkSession, t.quillmark_path)
+        if t.quillmark_path in _scratch(t.sparkSession):
+            _scratch(t.sparkSession).remove(t.quillmark_path)
