@@ -4,22 +4,25 @@ A byte goes when a string of `length` bytes that covers it also starts anywhere
 
 1. Every string of `length` bytes selects the K-byte string of the smallest hash in it (the leftmost of equals), so
    equal strings select equal K-byte strings at the same place in them. The strings of a document that select one
-   place are consecutive: together they are a context of at most 2 * length - K bytes. One scan lists the contexts;
-   only those whose selected hash occurs twice in the corpus go on.
-2. Contexts of one selected hash are a group, and all starts of an equal string lie in one group, each in exactly
-   one context. Equal contexts are one string with a count. Groups go to tasks.
-3. A task joins the distinct contexts of its groups to one string, forms its suffix order to a depth over `length`
-   and its Burrows-Wheeler transform, and expands intervals breadth first by backward extension: step l gives every
-   boundary between suffixes with exactly l bytes in common. It stops at `length`; suffixes that no boundary parts
-   then have at least that much in common.
-4. A group of over GROUP distinct contexts is split by halves of the places at which the selected string can lie in
-   a string; the bytes that all strings of a half have in common are then part of the group's key. Halving goes on
-   while it must; at a single place all strings of a group are equal. So no group is ever cut short.
-5. Spans come together per document and are removed.
+   place are consecutive: together they are a context of at most 2 * length - K bytes. One scan lists the contexts by
+   two hashes, of the selected string (h) and of the context's bytes (c); no bytes are moved. Only contexts whose h
+   occurs twice in the corpus go on.
+2. Contexts of one h are a group, and all starts of an equal string lie in one group, each in exactly one context.
+   Equal contexts are one kind with a count, formed before anything meets by h. A group of one kind is repeated
+   throughout. Of the other kinds, one copy each is cut from its text.
+3. A task joins the kinds of its groups to one string, forms its suffix order to a depth over `length` and its
+   Burrows-Wheeler transform, and expands intervals breadth first by backward extension: step l gives every boundary
+   between suffixes with exactly l bytes in common. It stops at `length`; suffixes that no boundary parts then have at
+   least that much in common.
+4. A group of over GROUP kinds is split by halves of the places at which the selected string can lie in a string; the
+   bytes that all strings of a half have in common are then part of the group's key. Halving goes on while it must; at
+   a single place all strings of a group are equal. So no group is ever cut short.
+5. What is repeated in a kind holds for every context of that kind; spans come together per document.
 
 Null text is empty. Rows are told apart by id and text; of rows that are equal in both, each is the other's copy.
 Null ids are kept as they are. Extra columns are ignored; an empty table gives no rows. Offsets are bytes, so a kept
-text may not be valid UTF-8 (`remove_spans` can widen spans to whole code points).
+text may not be valid UTF-8 (`remove_spans` can widen spans to whole code points). A text of any size is scanned in
+steps of about a megabyte. `length` must be from K to MOST_LENGTH, else ValueError.
 """
 
 from __future__ import annotations
@@ -32,22 +35,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import drop_tables, materialize, narrow, ship_package
+from quillmark.llm.common import drop_tables, materialize, narrow, ship_package, text_or_empty
 from quillmark.llm.neardup import whole_groups
-from quillmark.llm.textvec import U64, span_hashes, steps, take_rows, text_bytes
+from quillmark.llm.textvec import U64, mix, span_hashes, steps, take_rows, text_bytes
 
 #: Bytes of a selected string, distinct contexts of a group, and bytes of contexts that are sorted at once.
 K, GROUP, CHUNK = 32, 4096, 1 << 20
-_POSITION_BITS = 28
+#: The highest `length`: places and counts of a context take half of what a start leaves of 63 bits.
+MOST_LENGTH = 32_000
+#: Places that one scanning step tells apart, and starts of strings in a step of a text that is longer than one.
+_POSITION_BITS, SEGMENT = 22, 1 << 20
 
 
 def select_contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of texts in a row: the row of each context, its first string's start in the text, how many strings it has,
-    the selected place after that start, and the selected hash."""
+    the selected place after that start, the selected hash, and a hash of place and bytes."""
     n, w = len(data), length - K + 1
     if n < length:
         z = np.empty(0, np.int64)
-        return z, z, z, z, np.empty(0, U64)
+        return z, z, z, z, np.empty(0, U64), np.empty(0, U64)
+    if n >= 1 << _POSITION_BITS:
+        raise ValueError("too many bytes for one step")
     at = np.arange(n - K + 1)
     h = span_hashes(data, at, at + K)
     low = (h >> U64(_POSITION_BITS) << U64(_POSITION_BITS)) | at.astype(U64)
@@ -71,7 +79,24 @@ def select_contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple
     count = np.diff(np.append(first, len(start)))
     begin = start[first]
     row = np.searchsorted(offsets, begin, side="right") - 1
-    return row, begin - offsets[row], count, chosen[first] - begin, h[chosen[first]]
+    place = chosen[first] - begin
+    kind = mix(span_hashes(data, begin, begin + count + length - 1) + place.astype(U64))
+    return row, begin - offsets[row], count, place, h[chosen[first]], kind
+
+
+def context_steps(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """select_contexts over texts of any size, in steps; a long text's steps part its starts at fixed places, so equal
+    texts have equal contexts."""
+    for a, b in steps(offsets):
+        own, cut = take_rows(data, offsets, a, b)
+        if b - a > 1 or len(own) < 2 * SEGMENT:
+            row, *found = select_contexts(own, cut, length)
+            yield (row + a, *found)
+            continue
+        for s in range(0, len(own) - length + 1, SEGMENT):
+            part = own[s : s + SEGMENT + length - 1]
+            row, start, *found = select_contexts(part, np.array([0, len(part)]), length)
+            yield (row + a, start + s, *found)
 
 
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
@@ -163,39 +188,43 @@ def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(repeated[begin[i] : begin[i] + max(0, size[i] - length + 1)]) for i in range(len(contexts))]
 
 
+def _bits(length: int) -> int:
+    return (length - K + 1).bit_length()
+
+
+_LISTED = "h long, c long, d long, rk long, packed long"
+
+
 def _list_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    bits = _bits(length)
     for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        for a, b in steps(offsets):
-            row, start, count, place, h = select_contexts(*take_rows(data, offsets, a, b), length)
-            packed = (start << 16) | (count << 8) | place
-            rk = batch.column("rk").slice(a, b - a).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), rk, pa.array(packed)], names=["h", "rk", "packed"])
+        for row, start, count, place, h, c in context_steps(*text_bytes(batch.column("text")), length):
+            own = pa.array(row)
+            packed = (start << 2 * bits) | (count << bits) | place
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), batch.column("d").take(own), batch.column("rk").take(own), pa.array(packed)], names=["h", "c", "d", "rk", "packed"]
+            )
 
 
-_CONTEXT = "doc_id long, rk long, start long, n int, place int, g long, bytes binary"
+_STRINGS = "h long, c long, n int, place int, copies long, kinds long, bytes binary"
 
 
-def _cut_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _cut_kinds(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    bits = _bits(length)
+    mask = (1 << bits) - 1
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
+        texts = batch.column("text").cast(pa.large_binary())
         lists = batch.column("found")
         for i in range(batch.num_rows):
             raw = texts[i].as_py()
             found = lists[i].values
-            h, packed = (found.field(c).to_numpy() for c in ("h", "packed"))
-            start, n, place = packed >> 16, (packed >> 8) & 255, packed & 255
-            # rows whose keys collide would bring places that are not there
-            data = np.frombuffer(raw, np.uint8)
-            ok = start + n + length - 1 <= len(raw)
-            start, n, place, h = start[ok], n[ok], place[ok], h[ok]
-            ok = span_hashes(data, start + place, start + place + K).view(np.int64) == h
-            start, n, place, h = start[ok], n[ok], place[ok], h[ok]
-            cut = [raw[a:b] for a, b in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)]
-            same = np.zeros(len(cut), np.int64)
+            packed = found.field("packed").to_numpy()
+            start, n, place = packed >> 2 * bits, packed >> bits & mask, packed & mask
+            ok = np.flatnonzero(start + n + length - 1 <= len(raw))  # all, unless keys of unlike texts agree
+            cut = [raw[a:b] for a, b in zip(start[ok].tolist(), (start + n + length - 1)[ok].tolist(), strict=True)]
+            h, c, copies, kinds = (found.field(x).take(pa.array(ok)) for x in ("h", "c", "copies", "kinds"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(same + i)), batch.column("rk").take(pa.array(same + i)), pa.array(start), pa.array(n, pa.int32()), pa.array(place, pa.int32()), pa.array(h), pa.array(cut, pa.binary())],
-                names=["doc_id", "rk", "start", "n", "place", "g", "bytes"],
+                [h, c, pa.array(n[ok], pa.int32()), pa.array(place[ok], pa.int32()), copies, kinds, pa.array(cut, pa.binary())], names=["h", "c", "n", "place", "copies", "kinds", "bytes"]
             )
 
 
@@ -204,7 +233,11 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.concatenate([cut, [len(starts) - 1]])].tolist(), strict=True)) if len(starts) else []
 
 
+_RUNS = "g long, c long, first int, last int"
+
+
 def _expand_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Of kinds (g, c, copies, bytes) sorted by g: the runs of starts in each kind of strings that are repeated."""
     held: list[pa.Table] = []
     size = 0
 
@@ -216,8 +249,8 @@ def _expand_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         for i, s in enumerate(repeated_starts(contexts, length)):  # all of a context that has a copy is repeated
             runs += [(i, 0, len(contexts[i]) - length)] if copies[i] > 1 else [(i, *r) for r in _runs(s)]
         at = pa.array([r[0] for r in runs], pa.int64())
-        key = [table.column(c).combine_chunks().take(at) for c in ("g", "c1", "c2")]
-        return pa.RecordBatch.from_arrays([*key, pa.array([r[1] for r in runs], pa.int32()), pa.array([r[2] for r in runs], pa.int32())], names=["g", "c1", "c2", "first", "last"])
+        key = [table.column(c).combine_chunks().take(at) for c in ("g", "c")]
+        return pa.RecordBatch.from_arrays([*key, pa.array([r[1] for r in runs], pa.int32()), pa.array([r[2] for r in runs], pa.int32())], names=["g", "c", "first", "last"])
 
     for table in whole_groups(batches, ["g"]):
         groups = np.concatenate([[0], np.flatnonzero(np.diff(table.column("g").to_numpy())) + 1, [table.num_rows]])
@@ -235,50 +268,77 @@ def _expand_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         yield work()
 
 
+def _expanded(kinds: DataFrame, length: int) -> DataFrame:
+    """Runs (g, c, first, last) of kinds in groups of at most GROUP."""
+    dealt = kinds.select("g", "c", "copies", "bytes").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(lambda it: _expand_groups(it, length), _RUNS)
+
+
+def _counted(kinds: DataFrame, key: str) -> DataFrame:
+    """Kinds and contexts of each group; a table of its own, so that a join with it can split a frequent key."""
+    return kinds.groupBy(key).agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Byte spans to remove: doc_id, rk (a hash of id and text), first, last (exclusive); they may overlap."""
+    """A table (d, rk, spans) of the documents that have any: d is the id or 0, rk a hash of id and text, spans a list
+    of (first, last) in bytes, last exclusive; they may overlap. Both sides of every join grow with the corpus, so all
+    are shuffled, at every size."""
+    if not K <= length <= MOST_LENGTH:
+        raise ValueError(f"length must be from {K} to {MOST_LENGTH}")
     ship_package(docs.sparkSession)
-    rows = _keyed(docs, id_col, text_col)
-    listed = rows.mapInArrow(lambda it: _list_contexts(it, length), "h long, rk long, packed long")
-    listed = materialize(listed, "suffix-contexts")
-    # a table of its own, so that the join below deals both sides out and can split a frequent hash
+    bits = _bits(length)
+    start = F.expr(f"shiftright(packed, {2 * bits})")
+    rows = _keyed(docs, id_col, text_col).where(F.octet_length("text") >= length).select("d", "rk", "text")
+    listed = materialize(rows.mapInArrow(lambda it: _list_contexts(it, length), _LISTED), "suffix-contexts")
     twice = materialize(listed.groupBy("h").count().where("count > 1").select("h"), "suffix-twice")
-    found = listed.join(twice, "h").groupBy("rk").agg(F.collect_set(F.struct("h", "packed")).alias("found"))
-    found = materialize(found, "suffix-found")
+    level = materialize(listed.join(twice.hint("merge"), "h"), "suffix-level")
     drop_tables(listed, twice)
-    cut = rows.join(found, "rk").select("doc_id", "rk", "text", "found").mapInArrow(lambda it: _cut_contexts(it, length), _CONTEXT)
-    cut = cut.select("*", F.xxhash64("bytes", "place").alias("c1"), F.xxhash64("place", "n", "bytes").alias("c2"))
-    level = materialize(cut, "suffix-cut")
-    drop_tables(found)
-    most = length - K
-    spans: list[DataFrame] = []
-    width = most + 1
-    while True:
-        distinct = level.groupBy("g", "c1", "c2").agg(F.count("*").alias("copies"))
-        groups = materialize(distinct.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("copies").alias("copies")).where("copies > 1"), "suffix-groups")
-        whole = level.join(groups.where("kinds = 1").select("g"), "g")
-        spans.append(whole.select("doc_id", "rk", F.col("start").alias("first"), (F.col("start") + F.col("n") + length - 1).alias("last")))
-        mixed = level.join(groups.where(f"kinds > 1 and kinds <= {GROUP}").select("g"), "g")
-        strings = mixed.groupBy("g", "c1", "c2").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
-        strings = strings.repartition("g").sortWithinPartitions("g")
-        runs = strings.mapInArrow(lambda it: _expand_groups(it, length), "g long, c1 long, c2 long, first int, last int")
-        runs = materialize(runs, "suffix-runs")
-        hit = level.select("doc_id", "rk", "start", "g", "c1", "c2").join(runs, ["g", "c1", "c2"])
-        spans.append(hit.select("doc_id", "rk", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + length).alias("last")))
-        if width == 1 or not groups.where(f"kinds > {GROUP}").head(1):
-            break
-        large = level.join(groups.where(f"kinds > {GROUP}").select("g"), "g")
+    # equal contexts become one kind before anything meets by h
+    kinds = materialize(level.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("d", "rk", "packed")).alias("one")), "suffix-kinds")
+    sizes = materialize(_counted(kinds, "h"), "suffix-sizes")
+    tagged = materialize(kinds.join(sizes.hint("merge"), "h").select("h", "c", "copies", "kinds", "one.*"), "suffix-tagged")
+    drop_tables(kinds, sizes)
+    whole = tagged.where("kinds = 1").select("h", "c", F.lit(0).alias("first"), (F.expr(f"shiftright(packed, {bits})").bitwiseAND((1 << bits) - 1) - 1).cast("int").alias("last"))
+    found = tagged.where("kinds > 1").groupBy("d", "rk").agg(F.collect_list(F.struct("h", "c", "packed", "copies", "kinds")).alias("found"))
+    cut = rows.join(found.hint("merge"), ["d", "rk"]).select("text", "found")
+    strings = materialize(cut.mapInArrow(lambda it: _cut_kinds(it, length), _STRINGS), "suffix-strings")
+    small = _expanded(strings.where(f"kinds <= {GROUP}").select(F.col("h").alias("g"), "c", "copies", "bytes"), length)
+    runs = [materialize(whole.unionByName(small.withColumnRenamed("g", "h")), "suffix-runs")]
+    large = strings.where(f"kinds > {GROUP}").select("h", "c", F.lit(0).alias("skip"), F.col("h").alias("g"), "n", "place", "copies", "bytes")
+    width, held = length - K + 1, [tagged, strings]
+    while width > 1 and large.head(1):
         width = -(-width // 2)
-        level = materialize(_halved(large, width, length), "suffix-halves")
-    out = spans[0]
-    for s in spans[1:]:
-        out = out.unionByName(s)
-    return out.distinct()
+        halves = materialize(_halved(large, width, length), "suffix-halves")
+        drop_tables(*held)
+        sizes = materialize(_counted(halves.groupBy("g", "part").agg(F.sum("copies").alias("copies")), "g"), "suffix-sizes")
+        tagged = materialize(halves.join(sizes.hint("merge"), "g"), "suffix-tagged")
+        drop_tables(halves, sizes)
+        whole = tagged.where("kinds = 1").select("h", "c", F.col("skip").alias("first"), (F.col("skip") + F.col("n") - 1).alias("last"))
+        mixed = tagged.where(f"kinds > 1 and kinds <= {GROUP}")
+        kinds = mixed.groupBy("g", "part").agg(F.first("bytes").alias("bytes"), F.sum("copies").alias("copies"))
+        inside = _expanded(kinds.withColumnRenamed("part", "c"), length).withColumnRenamed("c", "part")
+        inside = mixed.select("h", "c", "skip", "g", "part").join(inside.hint("merge"), ["g", "part"])
+        inside = inside.select("h", "c", (F.col("skip") + F.col("first")).alias("first"), (F.col("skip") + F.col("last")).alias("last"))
+        runs.append(materialize(whole.unionByName(inside), "suffix-runs"))
+        large = tagged.where(f"kinds > {GROUP}").select("h", "c", "skip", "g", "n", "place", "copies", "bytes")
+        held = [tagged]
+    drop_tables(*held)
+    every = runs[0]
+    for r in runs[1:]:
+        every = every.unionByName(r)
+    hit = level.select("h", "c", "d", "rk", start.alias("start")).join(every.hint("merge"), ["h", "c"])
+    spans = hit.select("d", "rk", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + length).alias("last")).alias("span"))
+    # a table before the lists, as a join that another key follows is split where it is skewed
+    spans = materialize(spans, "suffix-spans")
+    drop_tables(level, *runs)
+    lists = materialize(spans.groupBy("d", "rk").agg(F.collect_set("span").alias("spans")), "suffix-lists")
+    drop_tables(spans)
+    return lists
 
 
 def _halved(level: DataFrame, width: int, length: int) -> DataFrame:
     """Contexts cut to the strings whose selected place p - start falls in one range of `width` places, grouped also
-    by the bytes that all strings of such a range have in common."""
+    by the bytes that all strings of such a range have in common; `part` tells the kinds of a group apart."""
     ranges = F.sequence(((F.col("place") - F.col("n") + 1) / width).cast("int"), (F.col("place") / width).cast("int"))
     parts = level.select("*", F.explode(ranges).alias("part"))
     # of the places a..b of this part, strings start at p - b .. p - a
@@ -287,14 +347,15 @@ def _halved(level: DataFrame, width: int, length: int) -> DataFrame:
     n = F.least(F.col("n") - 1, F.col("place") - a) - skip + 1
     common = F.expr(f"substring(bytes, place - part * {width} + 1, {length} - {width} + 1)")
     parts = parts.select(
-        "doc_id", "rk", (F.col("start") + skip).alias("start"), n.cast("int").alias("n"), (F.col("place") - skip).cast("int").alias("place"),
-        F.xxhash64("g", "part", common).alias("g"), F.expr(f"substring(bytes, greatest(0, place - (part * {width} + {width} - 1)) + 1, least(n - 1, place - part * {width}) - greatest(0, place - (part * {width} + {width} - 1)) + {length})").alias("bytes"),
+        "h", "c", (F.col("skip") + skip).cast("int").alias("skip"), F.xxhash64("g", "part", common).alias("g"), n.cast("int").alias("n"), (F.col("place") - skip).cast("int").alias("place"), "copies",
+        F.expr(f"substring(bytes, greatest(0, place - (part * {width} + {width} - 1)) + 1, least(n - 1, place - part * {width}) - greatest(0, place - (part * {width} + {width} - 1)) + {length})").alias("bytes"),
     )
-    return parts.select("*", F.xxhash64("bytes", "place").alias("c1"), F.xxhash64("place", "n", "bytes").alias("c2"))
+    return parts.select("*", F.xxhash64("place", "n", "bytes").alias("part"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return narrow(docs, id_col, text_col).select("*", F.xxhash64("doc_id", "text").alias("rk"))
+    """doc_id, text, and the key d, rk of each row; `rk` alone would bring spans of another id where hashes agree."""
+    return narrow(docs, id_col, text_col).select("*", F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("doc_id", "text").alias("rk"))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -311,12 +372,11 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     """doc_id, rk, n_bytes, n_removed, n_spans, kept (binary) per document. With whole_code_points spans shrink to
     code point borders, so that what is kept is valid UTF-8."""
     ship_package(docs.sparkSession)
-    lists = spans.groupBy(F.col("rk"), F.coalesce("doc_id", F.lit(0)).alias("d")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    rows = _keyed(docs, id_col, text_col).withColumn("d", F.coalesce("doc_id", F.lit(0))).join(lists, ["rk", "d"], "left").select("doc_id", "rk", "text", "spans")
+    rows = _keyed(docs, id_col, text_col).join(spans.hint("merge"), ["d", "rk"], "left").select("doc_id", "rk", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lists = batch.column("text").cast(pa.binary()), batch.column("spans")
+            texts, lists = batch.column("text").cast(pa.large_binary()), batch.column("spans")
             kept, sizes = [], []
             for i in range(batch.num_rows):
                 raw = texts[i].as_py()
@@ -352,15 +412,16 @@ def cleaned_rows(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     """The documents with all their columns, the text without its repeated passages (whole code points), and its
     number of code points anew in size_col. Null texts stay null."""
     spans = repeated_spans(docs, length, id_col, text_col)
-    lists = spans.groupBy(F.col("rk").alias("__rk"), F.coalesce("doc_id", F.lit(0)).alias("__d")).agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
-    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.withColumn("__rk", key).withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    rows = rows.join(lists, ["__rk", "__d"], "left").select(*docs.columns, "__spans")
+    # positions, so that columns of any name go through
+    names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
+    rows = docs.toDF(*names)
+    doc_id, text = F.col(names[docs.columns.index(id_col)]).cast("long"), text_or_empty(F.col(names[at]))
+    rows = rows.select("*", F.coalesce(doc_id, F.lit(0)).alias("d"), F.xxhash64(doc_id, text).alias("rk")).join(spans.hint("merge"), ["d", "rk"], "left").select(*names, "spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lists = batch.column(text_col).cast(pa.binary()), batch.column("__spans")
+            texts, lists = batch.column(at).cast(pa.large_binary()), batch.column("spans")
             out = []
             for i in range(batch.num_rows):
                 raw = texts[i].as_py()
@@ -374,9 +435,10 @@ def cleaned_rows(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    out = rows.mapInArrow(clean, docs.schema)
+    out = rows.mapInArrow(clean, rows.drop("spans").schema)
     if size_col in docs.columns:
-        out = out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType)).select(*docs.columns)
-    return out
+        size = docs.columns.index(size_col)
+        out = out.withColumn(names[size], F.length(names[at]).cast(docs.schema[size].dataType))
+    return out.toDF(*docs.columns)
 
 
