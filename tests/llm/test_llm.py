@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,11 +12,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.llm import mixing, mtree, neardup, omh, packing, quality, suffixdedup, tokenids, toxicity
+from quillmark.llm import encoding, mixing, mtree, neardup, omh, packing, quality, suffixdedup, textvec, tokenids, toxicity
 from quillmark.llm.common import scratch_path, tokenizer_path
 from quillmark.llm.encoding import Encoder
 from quillmark.llm.licenses import scan_licenses
-from quillmark.llm.textvec import text_bytes
+from quillmark.llm.textvec import span_hashes, text_bytes
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, count long, rank string, token int, h long"
@@ -41,7 +42,7 @@ def docs(spark):
         rows.append((100 + k, " ".join(words), "s0"))
     rows += [(200 + k, base, "s0") for k in range(4)]
     rows += [(300 + k, prose(rng, 30, 10_000) + "\n" + passage + "\n" + prose(rng, 5, 10_000), "s1") for k in range(5)]
-    rows += [(400, None, "s1"), (401, "", None), (402, "é ü 中文 \x00 one", None), (403, "ab " * 40_000, "s2"), (None, base, "s2"), (None, None, None), (405, "same row", "s2"), (405, "same row", "s2"), (406, "Same  ROW", "s2")]
+    rows += [(400, None, "s1"), (401, "", None), (402, "é ü 中文 \x00 one", None), (404, "end <|endoftext|> of <|startoftext|>" + base, "s2"), (403, "ab " * 40_000, "s2"), (None, base, "s2"), (None, None, None), (405, "same row", "s2"), (405, "same row", "s2"), (406, "Same  ROW", "s2")]
     return table(spark, rows)
 
 
@@ -59,8 +60,8 @@ def test_encoder_equals_library(name):
 
     path = tokenizer_path(name)
     t, e, rng = Tokenizer.from_file(path), Encoder(path), random.Random(2)
-    t.encode_special_tokens = True
-    parts = ["a", "B", " ", "  ", "\n", "\t", "'s", "'", "1", "é", "\x1c", "\x85", "\xa0", " ", "é", "̈", "<|endoftext|>", "Σ", ".", "中", "🎉"]
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|endoftext|> ", "x<|endoftext|>"]
+    parts = [*marks[: 2 + 5 * (name == WORD)], "a", "B", " ", "  ", "\n", "\t", "'s", "'", "1", "é", "\x1c", "\x85", "\xa0", " ", "é", "̈", "Σ", ".", "中", "🎉"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(600)] + ["", "word " * 3000]
     data, offsets = text_bytes(pa.array(texts))
     for a, b, ids, at in e.encode_rows(data, offsets):
@@ -68,11 +69,26 @@ def test_encoder_equals_library(name):
             assert ids[at[i - a] : at[i - a + 1]].tolist() == t.encode(texts[i], add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_encoder_of_long_texts(name, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(encoding, "STEP_BYTES", 300)
+    monkeypatch.setattr(encoding, "steps", lambda offsets: textvec.steps(offsets, 300))
+    path, rng = tokenizer_path(name), random.Random(12)
+    t, e = Tokenizer.from_file(path), Encoder(path)
+    for mark in ("", "<|endoftext|>"):
+        texts = ["short", prose(rng, 400) + mark, "", "é中 " * 500 + mark + "x" * 2000, mark, "ab", "   \n" * 900 + "b"]
+        got = {}
+        for a, b, ids, at in e.encode_rows(*text_bytes(pa.array(texts))):
+            got |= {i: ids[at[i - a] : at[i - a + 1]].tolist() for i in range(a, b)}
+        assert got == {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+
+
 def ids_of(name, text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
@@ -145,7 +161,8 @@ def near_expected(rows):
     for a in range(len(rows)):
         for b in range(a):
             i = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and None not in (rows[a][0], rows[b][0]) and 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
+            alike = 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i) or rows[a][0] == rows[b][0]
+            if sets[a] and sets[b] and None not in (rows[a][0], rows[b][0]) and alike:
                 parent[find(a)] = find(b)
     least = {}
     for a, (i, _) in enumerate(rows):
@@ -161,6 +178,29 @@ def test_near_duplicates(spark, docs, monkeypatch, bucket, cluster):
     assert got == near_expected(plain(docs))
 
 
+def test_near_duplicates_of_rows_with_one_id(spark):
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 60, 10_000) for _ in range(3))
+    rows = [(5, a, "s"), (5, b, "s"), (7, a + " x", "s"), (8, b + " y", "s"), (3, c, "s"), (9, c + " z", "s"), (9, a, "s"), (9, "", "s"), (10, "alone", "s")]
+    got = sorted((tuple(r) for r in neardup.near_duplicates(table(spark, rows)).collect()), key=key)
+    assert got == near_expected([(i, t) for i, t, _ in rows])
+    assert {r[0]: r[2] for r in got if r[1]} == {5: 3, 7: 3, 8: 3, 3: 3, 9: 3, 10: 10}
+
+
+def test_near_duplicates_of_one_large_cluster(spark, monkeypatch):
+    """A chain of near copies, of which only neighbours are links, among true copies of its ends."""
+    monkeypatch.setattr(neardup, "CLUSTER_SHINGLES", 150)
+    rng = random.Random(14)
+    words = prose(rng, 90, 10_000).split()
+    rows = []
+    for k in range(40):
+        words[2 * k] = f"x{k}"
+        rows.append((k, " ".join(words), "s"))
+    rows += [(100 + k, rows[0][1] + f" e{k}", "s") for k in range(10)]
+    got = sorted((tuple(r) for r in neardup.near_duplicates(table(spark, rows)).collect()), key=key)
+    assert got == near_expected([(i, t) for i, t, _ in rows])
+
+
 def test_first_of_each_group(spark, docs):
     got = neardup.first_of_each_group(docs)
     ids = sorted(r.doc_id for r in got.where("doc_id is not null").collect())
@@ -194,6 +234,34 @@ def test_repeated_passages(spark, docs, monkeypatch, group):
     assert suffixdedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length, group", [(32, 4096), (300, 4096), (400, 3), (1000, 4096)])
+def test_repeated_passages_of_other_lengths(spark, monkeypatch, length, group):
+    monkeypatch.setattr(suffixdedup, "GROUP", group)
+    rng = random.Random(9)
+    shared = [prose(rng, 300, 10_000) for _ in range(3)]
+    rows = [(i, prose(rng, rng.randrange(60), 10_000) + rng.choice(shared)[rng.randrange(300) :] + prose(rng, 20, 10_000) + rng.choice(shared)[: rng.randrange(1800)], "s") for i in range(25)]
+    rows += [(50, "ab" * 600, "s"), (51, "a" * 1300, "s"), (None, rows[0][1], "s"), (52, None, None), (52, rows[3][1], "s")]
+    some = table(spark, rows)
+    got = suffixdedup.remove_repeats(some, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert sorted((tuple(r) for r in got.collect()), key=key) == repeats_expected(plain(some), length)
+
+
+def test_repeated_passages_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "SEGMENT", 1500)
+    monkeypatch.setattr(suffixdedup, "steps", lambda offsets: textvec.steps(offsets, 2000))
+    rng = random.Random(10)
+    data = prose(rng, 4000, 10_000).encode()
+    whole = [np.concatenate(x) for x in zip(*suffixdedup.context_steps(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 200), strict=True)]
+    starts = np.concatenate([np.arange(a, a + n) for a, n in zip(whole[1], whole[2], strict=True)])
+    assert starts.tolist() == list(range(len(data) - 199))  # each string in one context, whatever the steps
+    for start, n, place, h in zip(*whole[1:5], strict=True):
+        at = np.array([start + place])
+        assert 0 <= place <= 168 and n >= 1 and span_hashes(np.frombuffer(data, np.uint8), at, at + 32)[0] == h
+    for bad in (31, 40_000):
+        with pytest.raises(ValueError):
+            suffixdedup.repeated_spans(table(spark, []), bad)
+
+
 def test_repeated_starts():
     rng = random.Random(3)
     for trial in range(120):
@@ -229,29 +297,66 @@ def test_order_matters():
     assert omh.likeness(own, omh.fingerprint(" ".join(near))) > 0.5 > 0.2 > omh.likeness(own, omh.fingerprint(" ".join(mixed)))
 
 
-def test_mtree(spark):
+def best_products(rows, k=5):
+    """(query_id, rank, vec_id, score) in Python's integers."""
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    queries = {}
+    for i, v in good:
+        if i % 50 == 0:
+            queries[i] = min(queries.get(i, v), v)
+    out = []
+    for q, x in queries.items():
+        best = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in good if i != q and len(v) == len(x))[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block, queries, shared", [(8 << 20, 1024, 64), (8 * 8 * 60, 3, 2)])
+def test_mtree(spark, monkeypatch, block, queries, shared):
+    monkeypatch.setattr(mtree, "BLOCK_BYTES", block)
+    monkeypatch.setattr(mtree, "QUERIES", queries)
+    monkeypatch.setattr(mtree, "SHARED", shared)
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(700)] + [(1000 + i, [0.5] * 8) for i in range(300)]
-    rows += [(5000, None), (5050, [1.0, None] * 4), (5100, [float("nan")] * 8), (5150, [1.0]), (None, [1.0] * 8), (700, [0.0] * 8), (700, [0.0] * 8)]
+    rows += [(5000, None), (5050, [1.0, None] * 4), (5100, [float("nan")] * 8), (5150, [1.0]), (5200, [2.0]), (5250, []), (None, [1.0] * 8), (700, [0.0] * 8), (700, [0.0] * 8)]
+    rows += [(701, [3.0] * 8)] * 3 + [(750, [9.0] * 8), (750, [-9.0] * 8)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, rank int, label int")
-    got = sorted(map(tuple, mtree.top_inner_products(df, F.col("vec_id") % 50 == 0).collect()))
-    good = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
-    expected = []
-    for q in good:
-        if q % 50 == 0:
-            best = sorted((-int(v @ good[q]), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
-            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == sorted(expected)
-    assert mtree.top_inner_products(df.limit(0), F.lit(True)).count() == 0
-
-
-def test_mtree_skips_pages():
+    assert sorted(map(tuple, mtree.top_inner_products(df, F.col("vec_id") % 50 == 0).collect())) == best_products(rows)
+
+
+def test_mtree_of_few_rows(spark):
+    one = spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert mtree.top_inner_products(one, F.lit(True)).count() == 0
+    assert mtree.top_inner_products(one.limit(0), F.lit(True)).count() == 0
+
+
+def test_mtree_scores_beyond_floats(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in 1e6 + rng.normal(size=6)]) for i in range(120)]  # scores near 4e17
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, mtree.top_inner_products(df, F.col("vec_id") % 50 == 0).collect())) == best_products(rows)
+    big = np.array([[1 << 40] * 4, [1 << 20] * 4])
+    assert mtree.scores(big, big.astype(float), np.array([1 << 20] * 4)).tolist() == [1 << 62, 1 << 42]
+    with pytest.raises(ValueError):
+        mtree.scores(big, big.astype(float), np.array([1 << 30] * 4))
+
+
+def test_mtree_skips_pages_and_regions():
     rng = np.random.default_rng(6)
     v = np.concatenate([rng.normal(c, 1, (400, 4)) for c in (0, 100, 200, 300)]).round().astype(int)
-    tree = mtree.MTree(np.arange(len(v)), v)
-    assert len(tree.pages) > 4
+    tree = mtree.MTree.from_bytes(mtree.MTree(np.arange(len(v)), v).to_bytes())
     best = sorted((-int(x @ v[7]), i) for i, x in enumerate(v) if i != 7)[:3]
     assert tree.search(7, v[7], 3) == [(-s, i) for s, i in best]
+    tree.visited = 0
+    best = sorted((-int(x @ v[1500]), i) for i, x in enumerate(v) if i != 1500)[:3]
+    assert tree.search(1500, v[1500], 3) == [(-s, i) for s, i in best]
+    assert 0 < tree.visited < len(tree.pages) / 2
+    assert tree.search(1500, v[1500], 3, floor=10**9) == []
+    top = float((v.astype(float) ** 2).sum(axis=1).max())
+    at, far = mtree.nearest_pivot(v, v[[0, 500, 900, 1300]], top)
+    regions = mtree.Regions({4: v[[0, 500, 900, 1300]]}, {4: top})
+    regions.radius = {(4, i): float(far[at == i].max()) for i in range(4)}
+    assert regions.within(4, v[[1500]], [-best[-1][0]]).tolist() == [3] and len(regions.within(4, v[[1500]], [None])) == 4
 
 
 def marked(spark):
