@@ -11,22 +11,41 @@ from quillmark.functions import text as X
 LISTS = {"policy": lexicons.POLICY, "ground": lexicons.GROUND, "region": lexicons.REGION, "downweight": lexicons.DOWNWEIGHT}
 
 
+def _mask(text: Column, words: tuple[str, ...]) -> Column:
+    """A bit per keyword that is in the text, letter case aside; at most 63."""
+    pairs = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(1 << i).cast("long").alias("bit")) for i, w in enumerate(words)))
+    # the lower-cased text is bound once, not once a keyword
+    bits = F.transform(F.array(F.lower(text)), lambda t: F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + F.when(F.contains(t, x["w"]), x["bit"]).otherwise(0)))
+    return F.element_at(bits, 1)
+
+
+def _named(mask: Column, words: tuple[str, ...]) -> Column:
+    return F.filter(F.array(*map(F.lit, words)), lambda w, i: F.getbit(mask, i) == 1)
+
+
 def event_features(items: DataFrame, now: Column, lists: dict[str, tuple[str, ...]] | None = None, key: str = "event_id") -> DataFrame:
-    """Features per event of items (key, id, source_name, source_tier, title, content, ts). The searched text joins
-    titles and contents in order of (ts, id)."""
+    """Features per event of items (key, id, source_name, source_tier, title, content, ts): counts, the keywords of
+    each list that any item has (sorted) and their number, and the hours since the last item.
+
+    Keywords are found in each item's title and content, between blanks, as bits; only the bits of an event meet, never
+    its texts, so an event may have any number of items."""
     lists = lists or LISTS
     tier = F.col("source_tier")
-    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
-    grouped = items.groupBy(key).agg(
+    text = F.concat(F.lit(" "), F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")), F.lit(" "))
+    masks = {name: [words[a : a + 63] for a in range(0, len(words), 63)] for name, words in lists.items()}
+    marked = items.select(key, "source_name", "source_tier", "ts", *(_mask(text, part).alias(f"{name}_{k}") for name, parts in masks.items() for k, part in enumerate(parts)))
+    grouped = marked.groupBy(key).agg(
         F.count("*").alias("num_items"), F.countDistinct("source_name").alias("distinct_sources"),
         *(F.countDistinct(F.when(tier == n, F.col("source_name"))).alias(f"tier{n}_sources") for n in (1, 2, 3)),
         F.bool_and(tier == 3).alias("signal_only"), F.max("ts").alias("last_ts"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", text.alias("text")))), lambda x: x["text"]), " \n ").alias("blob"),
+        *(F.bit_or(f"{name}_{k}").alias(f"{name}_{k}") for name, parts in masks.items() for k in range(len(parts))),
     )
-    hits = [F.size(X.keyword_hits(F.col("blob"), words)).alias(f"{name}_hits") for name, words in lists.items()]
+    found = {name: F.array_sort(F.array_distinct(F.concat(*(_named(F.col(f"{name}_{k}"), part) for k, part in enumerate(parts))))) for name, parts in masks.items()}
+    grouped = grouped.select("*", *(words.alias(f"{name}_matched") for name, words in found.items())).drop(*(f"{name}_{k}" for name, parts in masks.items() for k in range(len(parts))))
+    hits = [F.size(f"{name}_matched").alias(f"{name}_hits") for name in lists]
     anchor = (F.col("tier1_sources") > 0) | (F.col("tier2_sources") > 0)
     hours = F.greatest(F.lit(0.0), X.hours_between(now, F.col("last_ts")))
-    return grouped.select("*", *hits, anchor.alias("tier_1_anchor"), F.round(hours, 6).alias("recency_hours")).drop("blob", "last_ts")
+    return grouped.select("*", *hits, anchor.alias("tier_1_anchor"), F.round(hours, 6).alias("recency_hours")).drop("last_ts")
 
 
 def importance_score(recency_window: float = 48.0) -> Column:

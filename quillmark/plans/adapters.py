@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,24 +10,6 @@ NOW = "2024-01-03 12:00:00"
 #: Words that occur in the sample texts, for queries over keyword lists.
 SAMPLE_WORDS = ("the", "tion ", "and then", "ingest", "heitun", "ciónes", " ed ", "lement")
 
-#: Whether the views below hold every document, event and claim; else the parts that PRELUDE selects.
-_WHOLE = ContextVar("whole", default=False)
-
-
-def whole(f: Callable) -> Callable:
-    """The same query over whole views."""
-
-    @wraps(f)
-    def over_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-        mark = _WHOLE.set(True)
-        try:
-            return f(spark, sf_dir)
-        finally:
-            _WHOLE.reset(mark)
-
-    return over_all
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,10 +27,9 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if _WHOLE.get():  # four outlets and a day are an event, so events have many items
-        event = F.expr("doc_id DIV 1440 * 100 + coalesce(CAST(substr(source, 4) AS BIGINT), 0) DIV 4")
-        return table(spark, sf_dir, "documents").select(event.alias("event_id"), F.col("doc_id").alias("raw_item_id"))
-    return table(spark, sf_dir, "documents").where("doc_id % 7 != 0").select(F.expr("doc_id DIV 4").alias("event_id"), F.col("doc_id").alias("raw_item_id"))
+    """Every document; four outlets and four hours are an event, so events have many items."""
+    event = F.expr("doc_id DIV 240 * 100 + coalesce(CAST(substr(source, 4) AS BIGINT), 0) DIV 4")
+    return table(spark, sf_dir, "documents").select(event.alias("event_id"), F.col("doc_id").alias("raw_item_id"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,21 +42,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = events(spark, sf_dir) if _WHOLE.get() else events(spark, sf_dir).where("event_id % 3 = 0")
-    return chosen.select(
+    return events(spark, sf_dir).select(
         F.col("event_id").alias("story_id"), "event_id", F.concat(F.lit("Story "), F.col("event_id").cast("string")).alias("headline"), (F.col("event_id") % 2 == 0).alias("editor_approved"), "importance_score")
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = event_items(spark, sf_dir) if _WHOLE.get() else event_items(spark, sf_dir).where("event_id % 3 = 0")
-    return chosen.select(F.col("raw_item_id").alias("claim_id"), F.col("event_id").alias("story_id"), (F.col("raw_item_id") % 2 == 0).alias("verified"))
+    return event_items(spark, sf_dir).select(F.col("raw_item_id").alias("claim_id"), F.col("event_id").alias("story_id"), (F.col("raw_item_id") % 2 == 0).alias("verified"))
 
 
 def claim_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = claims(spark, sf_dir) if _WHOLE.get() else claims(spark, sf_dir).where("claim_id % 5 != 0")
-    a = own.select("claim_id", F.col("claim_id").alias("raw_item_id"))
-    b = own.where("claim_id % 3 = 0").select("claim_id", (F.col("claim_id") + 1).alias("raw_item_id"))
-    return a.unionByName(b)
+    """Every claim cites its own item and the next one."""
+    return claims(spark, sf_dir).select("claim_id", F.explode(F.array("claim_id", F.col("claim_id") + 1)).alias("raw_item_id"))
 
 
 #: The same in DuckDB; each oracle adds its own SELECT.
@@ -89,21 +62,13 @@ WITH raw_items AS (
     'https://www.' || source || '.example.com/a/' || doc_id || '?ref=x' AS source_url, substr(text, 1, 80) AS title, text AS content,
     CASE WHEN doc_id % 10 <> 0 THEN TIMESTAMP '{BASE}' + to_minutes(doc_id) END AS published_at, TIMESTAMP '{BASE}' + to_minutes(doc_id + 30) AS fetched_at
   FROM documents),
-event_items AS (SELECT doc_id // 4 AS event_id, doc_id AS raw_item_id FROM documents WHERE doc_id % 7 <> 0),
+event_items AS (SELECT doc_id // 240 * 100 + coalesce(CAST(substr(source, 4) AS BIGINT), 0) // 4 AS event_id, doc_id AS raw_item_id FROM documents),
 events AS (
   SELECT event_id, first_seen_at, last_seen_at, tier_1_anchor, CASE WHEN event_id % 11 <> 0 THEN round(n * 1.5 + event_id % 5, 4) END AS importance_score,
     ['selected', 'candidate', 'published', 'rejected'][event_id % 4 + 1] AS status
   FROM (SELECT event_id, min(coalesce(published_at, fetched_at)) AS first_seen_at, max(coalesce(published_at, fetched_at)) AS last_seen_at,
     bool_or(source_tier <= 2) AS tier_1_anchor, count(*) AS n FROM event_items JOIN raw_items ON raw_item_id = id GROUP BY event_id)),
-stories AS (SELECT event_id AS story_id, event_id, 'Story ' || event_id AS headline, event_id % 2 = 0 AS editor_approved, importance_score FROM events WHERE event_id % 3 = 0),
-claims AS (SELECT raw_item_id AS claim_id, event_id AS story_id, raw_item_id % 2 = 0 AS verified FROM event_items WHERE event_id % 3 = 0),
-claim_sources AS (SELECT claim_id, claim_id AS raw_item_id FROM claims WHERE claim_id % 5 <> 0
-  UNION ALL SELECT claim_id, claim_id + 1 FROM claims WHERE claim_id % 5 <> 0 AND claim_id % 3 = 0)
+stories AS (SELECT event_id AS story_id, event_id, 'Story ' || event_id AS headline, event_id % 2 = 0 AS editor_approved, importance_score FROM events),
+claims AS (SELECT raw_item_id AS claim_id, event_id AS story_id, raw_item_id % 2 = 0 AS verified FROM event_items),
+claim_sources AS (SELECT claim_id, claim_id + unnest([0, 1]) AS raw_item_id FROM claims)
 """
-#: The whole views in DuckDB.
-WHOLE_PRELUDE = (
-    PRELUDE.replace("doc_id // 4 AS event_id, doc_id AS raw_item_id FROM documents WHERE doc_id % 7 <> 0", "doc_id // 1440 * 100 + coalesce(CAST(substr(source, 4) AS BIGINT), 0) // 4 AS event_id, doc_id AS raw_item_id FROM documents")
-    .replace(" WHERE event_id % 3 = 0", "")
-    .replace(" WHERE claim_id % 5 <> 0 AND claim_id % 3 = 0", " WHERE claim_id % 3 = 0")
-    .replace(" WHERE claim_id % 5 <> 0", "")
-)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +11,7 @@ from quillmark.functions import text as X
 from quillmark.functions import vector as V
 from quillmark.operators import claims as C
 from quillmark.operators import cluster, rank, stories, tables
-from quillmark.plans.adapters import NOW, PRELUDE, SAMPLE_WORDS, WHOLE_PRELUDE
+from quillmark.plans.adapters import NOW, PRELUDE, SAMPLE_WORDS
 from quillmark.plans import adapters as A
 from quillmark.runtime import materialize
 from quillmark.sources import feeds
@@ -21,9 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
-#: Queries that need the parts: events without a story, and documents without an event; tests/test_whole.py has those cases.
-PARTS = ("upsert_story", "unclustered_anti", "needing_stories_anti")
-LISTS = {"policy": SAMPLE_WORDS[:3], "ground": SAMPLE_WORDS[3:6], "region": SAMPLE_WORDS[:6], "downweight": SAMPLE_WORDS[6:]}
+#: The keyword lists, and words that occur in the sample texts.
+LISTS = {name: (*words, *more) for (name, words), more in zip(rank.LISTS.items(), (SAMPLE_WORDS[:3], SAMPLE_WORDS[3:6], SAMPLE_WORDS[:6], SAMPLE_WORDS[6:]), strict=True)}
 
 
 def query(oracle: str | None = None):
@@ -42,11 +40,6 @@ def _load() -> None:
     from quillmark.plans import story_queries  # registers its queries; it needs this module first
 
     assert story_queries
-    for name, sql in list(_ORACLES.items()):
-        rest = sql.removeprefix(PRELUDE)
-        over_events = rest != sql and re.search(r"\b(event_items|events|stories|claims|claim_sources)\b", rest)
-        if over_events and name not in PARTS and f"{name}_whole" not in _QUERIES and not name.endswith("_whole"):
-            _QUERIES[f"{name}_whole"], _ORACLES[f"{name}_whole"] = A.whole(_QUERIES[name]), WHOLE_PRELUDE + rest
 
 
 def queries() -> dict[str, Query]:
@@ -135,9 +128,18 @@ def pending_embedding(spark, d):
     return A.raw_items(spark, d).where(F.col("published_at").isNull() & F.col("source_name").isin("src1", "src2", "src10", "src0")).orderBy("fetched_at").limit(1_000_000).select("id", "title")
 
 
-@query("SELECT id, coalesce(published_at, fetched_at) AS ts FROM raw_items LEFT JOIN event_items ON raw_item_id = id WHERE raw_item_id IS NULL")
+@query("SELECT id, coalesce(published_at, fetched_at) AS ts FROM raw_items LEFT JOIN embeddings ON vec_id = id WHERE vec_id IS NULL")
+def unembedded_anti(spark, d):
+    return A.raw_items(spark, d).join(A.table(spark, d, "embeddings"), F.col("vec_id") == F.col("id"), "left_anti").select("id", F.coalesce("published_at", "fetched_at").alias("ts"))
+
+
+@query("""SELECT id, coalesce(published_at, fetched_at) AS ts FROM raw_items JOIN embeddings ON vec_id = id LEFT JOIN event_items ON raw_item_id = id
+  LEFT JOIN events e ON e.event_id = event_items.event_id AND status <> 'rejected' WHERE e.event_id IS NULL""")
 def unclustered_anti(spark, d):
-    return A.raw_items(spark, d).join(A.event_items(spark, d), F.col("raw_item_id") == F.col("id"), "left_anti").select("id", F.coalesce("published_at", "fetched_at").alias("ts"))
+    """Embedded items that are in no event which still counts."""
+    embedded = A.raw_items(spark, d).join(A.table(spark, d, "embeddings").select("vec_id"), F.col("vec_id") == F.col("id"))
+    taken = A.event_items(spark, d).join(A.events(spark, d).where("status <> 'rejected'"), "event_id", "left_semi")
+    return embedded.join(taken, F.col("raw_item_id") == F.col("id"), "left_anti").select("id", F.coalesce("published_at", "fetched_at").alias("ts"))
 
 
 @query("SELECT DISTINCT id, source_url FROM raw_items JOIN event_items ON raw_item_id = id JOIN events USING (event_id) WHERE status = 'selected' AND published_at IS NOT NULL")
@@ -146,18 +148,18 @@ def pending_fetch_semi(spark, d):
     return A.raw_items(spark, d).where("published_at is not null").join(chosen, F.col("raw_item_id") == F.col("id"), "left_semi").select("id", "source_url")
 
 
-@query("""SELECT event_id, importance_score FROM events e LEFT JOIN stories s USING (event_id) WHERE s.story_id IS NULL AND status = 'selected'
-  ORDER BY e.importance_score DESC NULLS LAST, event_id LIMIT 40""".replace("importance_score FROM", "e.importance_score FROM", 1))
+@query("""SELECT e.event_id, e.importance_score FROM events e LEFT JOIN stories s ON s.event_id = e.event_id AND s.editor_approved WHERE s.story_id IS NULL AND status IN ('selected', 'candidate')
+  ORDER BY e.importance_score DESC NULLS LAST, e.event_id LIMIT 40""")
 def needing_stories_anti(spark, d):
-    open_ = A.events(spark, d).where("status = 'selected'").join(A.stories(spark, d), "event_id", "left_anti")
+    open_ = A.events(spark, d).where("status in ('selected', 'candidate')").join(A.stories(spark, d).where("editor_approved"), "event_id", "left_anti")
     return open_.orderBy(F.desc_nulls_last("importance_score"), "event_id").limit(40).select("event_id", "importance_score")
 
 
 @query("""SELECT id, source_name FROM raw_items r WHERE source_tier = 1 AND fetched_at >= TIMESTAMP '2024-01-03 12:00:00' - INTERVAL 48 HOURS
-  AND NOT EXISTS (SELECT 1 FROM event_items b WHERE b.raw_item_id = r.id AND b.event_id % 2 = 0)""")
+  AND NOT EXISTS (SELECT 1 FROM event_items b JOIN events e USING (event_id) WHERE b.raw_item_id = r.id AND status = 'selected')""")
 def not_exists_response(spark, d):
     recent = A.raw_items(spark, d).where((F.col("source_tier") == 1) & (F.col("fetched_at") >= _now() - F.expr("INTERVAL 48 HOURS")))
-    return recent.join(A.event_items(spark, d).where("event_id % 2 = 0"), F.col("raw_item_id") == F.col("id"), "left_anti").select("id", "source_name")
+    return recent.join(A.event_items(spark, d).join(A.events(spark, d).where("status = 'selected'"), "event_id", "left_semi"), F.col("raw_item_id") == F.col("id"), "left_anti").select("id", "source_name")
 
 
 @query("""SELECT story_id, headline, coalesce(e.importance_score, 0) AS importance, e.status FROM stories s LEFT JOIN events e USING (event_id) WHERE editor_approved""")
@@ -184,13 +186,15 @@ def insert_if_absent(spark, d):
     return tables.insert_if_absent(old, old.select("source_name", url.alias("source_url"), "id"), ["source_name", "source_url"], [F.col("id")])
 
 
-@query("""SELECT story_id, event_id, headline FROM (SELECT story_id, event_id, headline || ' (new)' AS headline FROM stories WHERE story_id % 2 = 0
-  UNION ALL SELECT -event_id - 1, event_id, 'Fresh ' || event_id FROM events WHERE event_id % 3 = 1
-  UNION ALL SELECT story_id, event_id, headline FROM stories WHERE story_id % 2 <> 0)""")
+@query("""SELECT story_id, event_id, headline || ' (new)' AS headline FROM stories WHERE editor_approved
+  UNION ALL SELECT -event_id - 1, -event_id - 1, 'Fresh ' || event_id FROM events
+  UNION ALL SELECT story_id, event_id, headline FROM stories WHERE NOT editor_approved""")
 def upsert_story(spark, d):
+    """Approved stories are written anew, and every event has a further one."""
     old = A.stories(spark, d).select("story_id", "event_id", "headline")
-    news = old.where("story_id % 2 = 0").withColumn("headline", F.concat("headline", F.lit(" (new)")))
-    fresh = A.events(spark, d).where("event_id % 3 = 1").select((-F.col("event_id") - 1).alias("story_id"), "event_id", F.concat(F.lit("Fresh "), F.col("event_id").cast("string")).alias("headline"))
+    news = A.stories(spark, d).where("editor_approved").select("story_id", "event_id", F.concat("headline", F.lit(" (new)")).alias("headline"))
+    other = (-F.col("event_id") - 1).alias("event_id")
+    fresh = A.events(spark, d).select(other.alias("story_id"), other, F.concat(F.lit("Fresh "), F.col("event_id").cast("string")).alias("headline"))
     return tables.upsert(old, news.unionByName(fresh), ["event_id"])
 
 
@@ -207,9 +211,9 @@ def repack_ordinals(spark, d):
     return tables.repack_ordinals(kept, "story_id", "ordinal", "claim_id").withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
-@query("""SELECT id, CASE WHEN quality = 0 THEN '' ELSE coalesce(left(content, 20), '-') END AS body FROM raw_items LEFT JOIN labels ON id = doc_id""")
+@query("""SELECT id, CASE WHEN quality = 0 THEN '' ELSE coalesce(content, '-') END AS body FROM raw_items LEFT JOIN labels ON id = doc_id""")
 def store_body(spark, d):
-    items = A.raw_items(spark, d).select("id", F.coalesce(F.substring("content", 1, 20), F.lit("-")).alias("body"))
+    items = A.raw_items(spark, d).select("id", F.coalesce("content", F.lit("-")).alias("body"))
     news = A.table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id"), F.lit("").alias("body"))
     return tables.update_where_found(items, news, ["id"], ["body"])
 
@@ -246,9 +250,9 @@ def humanise_outlet(spark, d):
     return n.select("n", X.humanise(F.col("n")).alias("outlet"))
 
 
-@query("""SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N} _-]', '', 'g'), '[ _-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM raw_items""")
+@query("""SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(content), '[^\\p{L}\\p{N} _-]', '', 'g'), '[ _-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM raw_items""")
 def slugify(spark, d):
-    return A.raw_items(spark, d).select("id", X.slug(F.col("title")).alias("slug"))
+    return A.raw_items(spark, d).select("id", X.slug(F.col("content")).alias("slug"))
 
 
 @query("""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host FROM pages)
@@ -260,10 +264,10 @@ def url_parts(spark, d):
     return A.table(spark, d, "pages").select("page_id", host.alias("host"), X.is_social_host(host, "example.com").alias("on_site"), F.lower(X.normalise_image_url(u)).alias("plain"), X.url_hash(u).alias("hash"), X.extension(u).alias("ext"))
 
 
-@query("""SELECT id, array_to_string(list_slice(list_filter(regexp_extract_all(title, '[\\p{L}\\p{N}_'']+'), lambda w: lower(w) NOT IN (%s)), 1, 8), ' ') AS q FROM raw_items"""
+@query("""SELECT id, array_to_string(list_slice(list_filter(regexp_extract_all(content, '[\\p{L}\\p{N}_'']+'), lambda w: lower(w) NOT IN (%s)), 1, 8), ' ') AS q FROM raw_items"""
        % ", ".join(f"'{w}'" for w in X.STOP_WORDS))
 def headline_query(spark, d):
-    return A.raw_items(spark, d).select("id", X.headline_query(F.col("title")).alias("q"))
+    return A.raw_items(spark, d).select("id", X.headline_query(F.col("content")).alias("q"))
 
 
 @query()
@@ -322,33 +326,26 @@ def cosine_pairs(spark, d):
 
 
 @query("""WITH p AS (SELECT label, vec_id, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
-m AS (SELECT label, pos, avg(x) AS x FROM p WHERE label < 4 GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1),
+m AS (SELECT label, pos, avg(x) AS x FROM p GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1),
 s AS (SELECT m.label, p.vec_id AS id, round(1 - sum(m.x / n.n * p.x) / sqrt(sum(p.x * p.x)), 6) AS distance FROM m JOIN n USING (label) JOIN p ON p.pos = m.pos GROUP BY 1, 2, n.n)
 SELECT * FROM (SELECT label, id, distance, row_number() OVER (PARTITION BY label ORDER BY distance, id) AS rank FROM s WHERE distance < 0.95) WHERE rank <= 3""")
 def centroid_topk(spark, d):
-    e = A.table(spark, d, "embeddings")
-    c = V.centroids(e.where("label < 4"), "label", "embedding")
-    near = cluster.nearest(c, e.select(F.col("vec_id").alias("id"), "embedding"), "label", 0.95, 3)
-    return near.select("label", "id", "distance", F.col("rank").cast("long").alias("rank"))
-
-
-@query(_ORACLES["centroid_topk"].replace(" WHERE label < 4", ""))
-def centroid_topk_whole(spark, d):
-    """centroid_topk has the first four labels, as its SQL does; this one has all of them."""
     e = A.table(spark, d, "embeddings")
     near = cluster.nearest(V.centroids(e, "label", "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"), "label", 0.95, 3)
     return near.select("label", "id", "distance", F.col("rank").cast("long").alias("rank"))
 
 
-_TF = """t AS (SELECT id, list_filter(regexp_extract_all(lower(substr(content, 1, 2000)), '[\\p{L}\\p{N}_]{2,}'), lambda w: w NOT IN (%s)) AS t FROM raw_items),
+#: Of whole texts; with few buckets every two texts would share some.
+_BUCKETS = 1 << 20
+_TF = """t AS (SELECT id, list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]{2,}'), lambda w: w NOT IN (%s)) AS t FROM raw_items),
 g AS (SELECT id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda k: t[k] || ' ' || t[k + 1]))) AS gram FROM t),
-c AS (SELECT id, CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) %% 1024 AS bucket, count(*) AS n FROM g GROUP BY 1, 2),
+c AS (SELECT id, CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) %% 1048576 AS bucket, count(*) AS n FROM g GROUP BY 1, 2),
 w AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM c)""" % ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 
 
 @query(", " + _TF + " SELECT id, bucket, round(weight, 9) AS weight FROM w")
 def feature_hash_tf(spark, d):
-    return V.hashed_terms(A.raw_items(spark, d), "id", F.substring("content", 1, 2000)).select("id", "bucket", F.round("weight", 9).alias("weight"))
+    return V.hashed_terms(A.raw_items(spark, d), "id", F.col("content"), _BUCKETS).select("id", "bucket", F.round("weight", 9).alias("weight"))
 
 
 @query(", " + _TF + """ SELECT a.id AS i, b.id AS j, round(sum(a.weight * b.weight), 6) AS similarity FROM w a JOIN w b ON a.bucket = b.bucket AND a.id < b.id GROUP BY 1, 2 HAVING round(sum(a.weight * b.weight), 6) >= 0.9""")
@@ -357,7 +354,7 @@ def sparse_cosine_pairs(spark, d):
 
 
 def _text_pairs(spark, d) -> DataFrame:
-    return cluster.sparse_pairs(V.hashed_terms(A.raw_items(spark, d), "id", F.substring("content", 1, 2000)), "id", 0.9)
+    return cluster.rare_pairs(materialize(V.hashed_terms(A.raw_items(spark, d), "id", F.col("content"), _BUCKETS), "terms"), "id", 0.9)
 
 
 @query("""SELECT a.event_id AS i, b.event_id AS j FROM events a JOIN events b ON a.event_id < b.event_id AND abs(date_diff('microsecond', a.last_seen_at, b.last_seen_at)) <= 1800000000""")
@@ -385,43 +382,6 @@ def cluster_events(spark, d):
     return cluster.cluster_events(A.raw_items(spark, d), _text_pairs(spark, d))
 
 
-# the four queries above look at the first 2000 characters, as their SQL does; these are the same over whole texts
-
-_WHOLE_BUCKETS = 1 << 20
-
-
-def _whole_terms(spark, d) -> DataFrame:
-    return materialize(V.hashed_terms(A.raw_items(spark, d), "id", F.col("content"), _WHOLE_BUCKETS), "whole-terms")
-
-
-def _whole_pairs(spark, d) -> DataFrame:
-    return cluster.rare_pairs(_whole_terms(spark, d), "id", 0.9)
-
-
-def _whole_text(name: str) -> str:
-    return _ORACLES[name].removeprefix(PRELUDE).replace("substr(content, 1, 2000)", "content").replace("% 1024", f"% {_WHOLE_BUCKETS}")
-
-
-@query(_whole_text("feature_hash_tf"))
-def feature_hash_tf_whole(spark, d):
-    return V.hashed_terms(A.raw_items(spark, d), "id", F.col("content"), _WHOLE_BUCKETS).select("id", "bucket", F.round("weight", 9).alias("weight"))
-
-
-@query(_whole_text("sparse_cosine_pairs"))
-def sparse_cosine_pairs_whole(spark, d):
-    return _whole_pairs(spark, d)
-
-
-@query(_whole_text("connected_components"))
-def connected_components_whole(spark, d):
-    return cluster.components(_whole_pairs(spark, d), A.raw_items(spark, d), "id")
-
-
-@query(_whole_text("cluster_events"))
-def cluster_events_whole(spark, d):
-    return cluster.cluster_events(A.raw_items(spark, d), _whole_pairs(spark, d))
-
-
 @query("SELECT event_id, raw_item_id AS representative FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY source_tier, coalesce(published_at, fetched_at) DESC, id) AS k FROM event_items JOIN raw_items ON raw_item_id = id) WHERE k = 1")
 def representative_argmin(spark, d):
     return cluster.representative(_members(spark, d), "event_id")
@@ -435,15 +395,17 @@ def _features(spark, d) -> DataFrame:
 
 
 def _hits(words) -> str:
-    return " + ".join("CAST(contains(lower(blob), '{}') AS INTEGER)".format(w) for w in words)
+    quoted = ["'{}'".format(w.replace("'", "''")) for w in words]
+    return f"list_filter([{', '.join(quoted)}], lambda w: contains(blob, w))"
 
 
-_FEATURES = f""", f0 AS (SELECT event_id, count(*) AS num_items, count(DISTINCT source_name) AS distinct_sources, {", ".join(f"count(DISTINCT CASE WHEN source_tier = {t} THEN source_name END) AS tier{t}_sources" for t in (1, 2, 3))},
-  bool_and(source_tier = 3) AS signal_only, string_agg(title || ' ' || content, ' ' || chr(10) || ' ' ORDER BY coalesce(published_at, fetched_at), id) AS blob,
-  round(greatest(0.0, date_diff('microsecond', max(coalesce(published_at, fetched_at)), TIMESTAMP '{NOW}') / 3.6e9), 6) AS recency_hours
-  FROM event_items JOIN raw_items ON raw_item_id = id GROUP BY 1),
-f AS (SELECT event_id, num_items, distinct_sources, tier1_sources, tier2_sources, tier3_sources, signal_only, {", ".join(f"{_hits(w)} AS {n}_hits" for n, w in LISTS.items())},
-  tier1_sources > 0 OR tier2_sources > 0 AS tier_1_anchor, recency_hours FROM f0),
+_FEATURES = f""", i0 AS (SELECT event_id, r.*, ' ' || lower(coalesce(title, '') || ' ' || coalesce(content, '')) || ' ' AS blob FROM event_items JOIN raw_items r ON raw_item_id = id),
+i1 AS (SELECT event_id, {", ".join(f"{_hits(w)} AS {n}" for n, w in LISTS.items())} FROM i0),
+h0 AS (SELECT event_id, {", ".join(f"list_sort(list_distinct(flatten(list({n})))) AS {n}_matched" for n in LISTS)} FROM i1 GROUP BY 1),
+f0 AS (SELECT event_id, count(*) AS num_items, count(DISTINCT source_name) AS distinct_sources, {", ".join(f"count(DISTINCT CASE WHEN source_tier = {t} THEN source_name END) AS tier{t}_sources" for t in (1, 2, 3))},
+  bool_and(source_tier = 3) AS signal_only, round(greatest(0.0, date_diff('microsecond', max(coalesce(published_at, fetched_at)), TIMESTAMP '{NOW}') / 3.6e9), 6) AS recency_hours FROM i0 GROUP BY 1),
+f AS (SELECT event_id, num_items, distinct_sources, tier1_sources, tier2_sources, tier3_sources, signal_only, {", ".join(f"{n}_matched, len({n}_matched) AS {n}_hits" for n in LISTS)},
+  tier1_sources > 0 OR tier2_sources > 0 AS tier_1_anchor, recency_hours FROM f0 JOIN h0 USING (event_id)),
 s AS (SELECT event_id, tier_1_anchor, round(greatest(0.0,
   CASE WHEN tier1_sources > 0 THEN 2.5 WHEN tier2_sources > 0 THEN 1.5 ELSE 0 END + 0.9::DOUBLE * least(distinct_sources, 8) + 0.5::DOUBLE * least(tier1_sources, 4) + 0.5::DOUBLE * least(tier2_sources, 4)
   + 0.5::DOUBLE * least(policy_hits, 5) + 0.8::DOUBLE * least(ground_hits, 5) + CASE WHEN region_hits >= 3 THEN 3 WHEN region_hits = 0 THEN -4 ELSE 0 END
@@ -494,14 +456,13 @@ def mode_decision(spark, d):
 # claims and stories
 
 
-@query("""SELECT event_id, id, k AS rank FROM (SELECT event_id, id, row_number() OVER (PARTITION BY event_id ORDER BY source_tier, -length(content), id) AS k FROM event_items JOIN raw_items ON raw_item_id = id) WHERE k <= 2""")
+@query("""SELECT event_id, id, k AS rank FROM (SELECT event_id, id, row_number() OVER (PARTITION BY event_id ORDER BY source_tier, -length(content), id) AS k FROM event_items JOIN raw_items ON raw_item_id = id) WHERE k <= 8""")
 def prompt_sources_topk(spark, d):
     r = F.row_number().over(Window.partitionBy("event_id").orderBy("source_tier", -F.length("content"), "id"))
-    return _members(spark, d).select("event_id", "id", r.cast("long").alias("rank")).where("rank <= 2")
+    return _members(spark, d).select("event_id", "id", r.cast("long").alias("rank")).where("rank <= 8")
 
 
 @query()
-@A.whole
 def local_claims(spark, d):
     return C.local_claims(_members(spark, d).select("event_id", "id", "source_tier", F.col("content").alias("text")))
 
@@ -569,7 +530,6 @@ def edition_toc(spark, d):
 
 
 @query()
-@A.whole
 def edition_markdown(spark, d):
     s = A.stories(spark, d).where("editor_approved").select("story_id", "headline", "importance_score", F.concat(F.lit("Body of "), "headline").alias("body"), F.lit("report").alias("mode"))
     return stories.edition_lines(s, "2024-01-03")
@@ -586,5 +546,5 @@ def salvage_json(spark, d):
     from quillmark.runtime import ship_package
 
     ship_package(spark)
-    noisy = F.concat(F.lit('Sure! {"claims": [{"text": "'), F.regexp_replace(F.substring("text", 1, 30), r'[\\"\p{Cntrl}]', " "), F.lit('", "source_ids": [1]}, {"text": "cut'))
+    noisy = F.concat(F.lit('Sure! {"claims": [{"text": "'), F.regexp_replace("text", r'[\\"\p{Cntrl}]', " "), F.lit('", "source_ids": [1]}, {"text": "cut'))
     return A.table(spark, d, "conversations").select("conv_id", "turn", C.salvage_json(noisy).alias("objects"))

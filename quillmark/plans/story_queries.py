@@ -127,19 +127,16 @@ def failure_stubs(spark, d):
 
 
 @query()
-@A.whole
 def source_digests(spark, d):
     return prose.source_digest(_docs(spark, d))
 
 
 @query()
-@A.whole
 def build_stories(spark, d):
     return newsroom.build_stories(_events(spark, d).where("status = 'selected'"), _docs(spark, d), WORDS)
 
 
 @query()
-@A.whole
 def publish_topup(spark, d):
     return newsroom.publish(_events(spark, d), _docs(spark, d), words=WORDS)
 

@@ -23,10 +23,10 @@ def test_pairs_see_all_of_a_text(spark, tmp_path):
     assert len(start) > 2000
     texts = [start + " " + words("x", 3000), start + " " + words("y", 3000), words("p", 260) + " " + body, words("q", 260) + " " + body]
     d = documents(tmp_path, spark, texts)
-    assert [(r.i, r.j) for r in registry.queries()["sparse_cosine_pairs_whole"](spark, d).collect()] == [(2, 3)]
-    found = {r.id: r.component for r in registry.queries()["connected_components_whole"](spark, d).collect()}
+    assert [(r.i, r.j) for r in registry.queries()["sparse_cosine_pairs"](spark, d).collect()] == [(2, 3)]
+    found = {r.id: r.component for r in registry.queries()["connected_components"](spark, d).collect()}
     assert found == {0: 0, 1: 1, 2: 2, 3: 2}
-    assert registry.queries()["cluster_events_whole"](spark, d).count() == 3
+    assert registry.queries()["cluster_events"](spark, d).count() == 3
 
 
 def test_rare_pairs_equal_brute_force(spark):
@@ -50,13 +50,11 @@ def test_rare_pairs_equal_brute_force(spark):
 
 def test_whole_views_hold_every_row(spark, tmp_path):
     d = documents(tmp_path, spark, [f"text {i}" for i in range(1500)])
-    both = adapters.whole(lambda spark, d: (adapters.event_items(spark, d), adapters.events(spark, d), adapters.stories(spark, d), adapters.claims(spark, d), adapters.claim_sources(spark, d)))
-    items, events, stories, claims, cited = both(spark, d)
+    items, events, stories, claims, cited = (f(spark, d) for f in (adapters.event_items, adapters.events, adapters.stories, adapters.claims, adapters.claim_sources))
     assert {r.raw_item_id for r in items.collect()} == set(range(1500)) == {r.claim_id for r in claims.collect()} == {r.claim_id for r in cited.collect()}
     assert {r.event_id for r in events.collect()} == {r.event_id for r in items.collect()} == {r.story_id for r in stories.collect()}
-    assert items.groupBy("event_id").count().agg(F.max("count")).head()[0] == 1440
-    assert sum(r.num_items for r in registry.queries()["event_features_whole"](spark, d).collect()) == 1500
-    assert not adapters._WHOLE.get()
+    assert items.groupBy("event_id").count().agg(F.max("count")).head()[0] == 240
+    assert sum(r.num_items for r in registry.queries()["event_features"](spark, d).collect()) == 1500
 
 
 def test_rows_without_a_partner(spark):
@@ -73,5 +71,5 @@ def test_rows_without_a_partner(spark):
 def test_every_label_has_a_centroid(spark, tmp_path):
     rows = [(i, [float(i % 10 == k) + 0.01 for k in range(10)], i % 10) for i in range(40)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = registry.queries()["centroid_topk_whole"](spark, str(tmp_path)).collect()
+    got = registry.queries()["centroid_topk"](spark, str(tmp_path)).collect()
     assert sorted((r.label, r.id) for r in got) == sorted((k, k + 10 * n) for k in range(10) for n in range(3))
