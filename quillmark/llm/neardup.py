@@ -6,18 +6,21 @@ Two documents are linked when 100 * |intersection| >= 85 * |union|, and componen
 1. One scan hashes words and shingles, and takes 2 x T x K minima per document: two collections A and B of T
    hashes, each of K minima. Table (i, j) of the T * T tables has the key (A_i, B_j), so T * T tables of 2K minima
    cost 2TK minima, about the square root of what separate tables would take. With T = 16 and K = 3 a pair at the
-   threshold of 85 meets in no table with probability 5e-7.
-2. Documents with equal sets become one node (grouped by a 128-bit set hash), so copies are never paired.
+   threshold of 85 meets in no table with probability 4.8e-7; with the filter below at most about 1.1e-6 are missed.
+2. Documents with equal sets become one node (grouped by a 128-bit set hash), so copies are never paired. Nodes have
+   numbers of their own, as one id may stand on rows of unlike texts.
 3. Nodes that share some A_i meet in one bucket, where tables (i, j) are formed by B_j. Buckets over BUCKET nodes
    are dealt out again by (A_i, B_j); tables still over it are joined as stars, which loses no pair.
    Within tables, pairs that could still reach the threshold by size and by all 2TK minima are united.
 4. Components of those are clusters that hold every possible link. Each cluster's documents meet with their whole
-   texts and all links are decided on full sets; clusters too large for a task are dealt out in pairs of blocks.
+   texts and all links are decided on full sets. A cluster too large for a task is cut into blocks: first each block
+   is verified in itself and against a few leaders of the cluster; what that unites needs no further comparison, so
+   true copies cost in proportion to their number. Only documents of different components then meet, in pairs of blocks.
    Only a spanning forest of the confirmed links leaves a task.
 5. Components of confirmed links, joined back to all documents.
 
-Null text counts as empty. Rows without id have no links, no component, and are kept. Repeated rows are linked with
-each other and share a component. Extra columns are ignored; an empty table gives no rows.
+Null text counts as empty. Rows without id have no links, no component, and are kept. Rows of one id are one document:
+they are linked with each other, whatever their texts. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,13 +34,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import drop_tables, materialize, narrow, ship_package
-from quillmark.llm.components import connected_components
+from quillmark.operators.graph import connected_components
 from quillmark.llm.textvec import LOWER, SPACE, U64, mix, span_hashes, steps, take_rows, text_bytes, word_spans
 
 #: Hashes in each collection, and minima in each hash.
 T, K = 16, 3
-#: Nodes of a bucket that one task compares, and shingles of a cluster that one task verifies.
-BUCKET, CLUSTER_SHINGLES = 4096, 1_500_000
+#: Nodes of a bucket that one task compares, shingles of a cluster that one task verifies, and leaders of a larger one.
+BUCKET, CLUSTER_SHINGLES, LEADERS = 4096, 1_500_000, 4
 
 
 def agree(percent: int) -> int:
@@ -74,6 +77,11 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[n
     return mix(rolled[keep]), np.concatenate([[0], np.cumsum(size)])
 
 
+def set_hash(u: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of a set of shingle hashes."""
+    return u.sum(), mix(u ^ U64(0x5851F42D4C957F2D)).sum()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
@@ -84,7 +92,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
             for i in range(b - a):
                 if at[i + 1] > at[i]:
                     u = np.unique(x[at[i] : at[i + 1]])
-                    n[i], h1[i], h2[i] = len(u), u.sum(), mix(u ^ U64(0x5851F42D4C957F2D)).sum()
+                    n[i], (h1[i], h2[i]) = len(u), set_hash(u)
             sig = np.zeros((b - a, 2 * T * K), np.uint32)
             full = np.flatnonzero(n)
             if len(full):
@@ -172,7 +180,7 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _join_buckets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, ["bucket"]):
-        ids, n = table.column("doc_id").to_numpy(), table.column("n").to_numpy()
+        ids, n = table.column("node").to_numpy(), table.column("n").to_numpy()
         keys = np.array(table.column("keys").combine_chunks().flatten()).reshape(-1, 2 * T)[:, T:]
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, 2 * T * K)
         edges: list[tuple[int, int]] = []
@@ -183,11 +191,12 @@ def _join_buckets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
             yield _edge_batch(edges)
 
 
-def verified_links(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; with sides, of those between side 0 and side 1."""
+def verified_links(ids: list[int], sets: list[np.ndarray], known: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets that unite what is not known to be united; known: a number per set,
+    equal within components that are known."""
     if len(ids) == 2:
         i = len(np.intersect1d(*sets, assume_unique=True))
-        linked = (side is None or side[0] != side[1]) and 100 * i >= percent * (len(sets[0]) + len(sets[1]) - i)
+        linked = known[0] != known[1] and 100 * i >= percent * (len(sets[0]) + len(sets[1]) - i)
         return [(ids[0], ids[1])] if linked else []
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
@@ -196,7 +205,9 @@ def verified_links(ids: list[int], sets: list[np.ndarray], side: np.ndarray | No
     posting = owner[order]
     begin = np.concatenate([[0], np.cumsum(np.bincount(code))])
     first = np.concatenate([[0], np.cumsum(size)])
-    label = np.arange(len(sets))
+    _, at, back = np.unique(known, return_index=True, return_inverse=True)
+    start = at[back]  # the place of the first one of each component
+    label = start.copy()
     for x in range(len(sets) - 1):
         if (label[x:] == label[x]).all():
             continue
@@ -206,35 +217,107 @@ def verified_links(ids: list[int], sets: list[np.ndarray], side: np.ndarray | No
         at = np.repeat(begin[c] - (total - length), length) + np.arange(total[-1])
         both = np.bincount(posting[at], minlength=len(sets))[x + 1 :]
         hit = (100 * both >= percent * (size[x] + size[x + 1 :] - both)) & (label[x + 1 :] != label[x])
-        if side is not None:
-            hit &= side[x + 1 :] != side[x]
         if hit.any():
             _unite(label, x, x + 1 + np.flatnonzero(hit))
-    return [(ids[i], ids[r]) for i, r in enumerate(label.tolist()) if r != i]
+    return [(ids[i], ids[r]) for i, r in enumerate(label.tolist()) if r != start[i]]
+
+
+_UNIT = ["cluster", "low_own", "low", "high_own", "high"]
 
 
 def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for table in whole_groups(batches, ["cluster", "low", "high"]):
-        ids, block = table.column("doc_id").to_numpy(), table.column("block").to_numpy()
-        low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
+    for table in whole_groups(batches, _UNIT):
+        node, h1, h2, label = (table.column(c).to_numpy() for c in ("node", "h1", "h2", "label"))
         text = table.column("text").combine_chunks()
         edges: list[tuple[int, int]] = []
-        for a, b in _groups(table, ["cluster", "low", "high"]):
-            _, only = np.unique(ids[a:b], return_index=True)
-            if len(only) < 2:
+        for a, b in _groups(table, _UNIT):
+            if len(np.unique(label[a:b])) < 2:
                 continue
-            at = a + np.sort(only)
+            ids: list[int] = []
             sets: list[np.ndarray] = []
-            data, offsets = text_bytes(text.take(pa.array(at)))
+            known: list[int] = []
+            seen: set[int] = set()
+            data, offsets = text_bytes(text.slice(a, b - a))
             for c, d in steps(offsets):
                 x, cut = shingle_hashes(*take_rows(data, offsets, c, d), words)
-                sets += [np.unique(x[cut[i] : cut[i + 1]]) for i in range(d - c)]
-            side = None if low[a] == high[a] else (block[at] == high[a]).astype(int)
-            edges += verified_links([int(i) for i in ids[at]], sets, side, percent)
+                for i in range(d - c):
+                    at = a + c + i
+                    u = np.unique(x[cut[i] : cut[i + 1]])
+                    # rows of the node's id may have other texts; copies of a row come once
+                    if int(node[at]) not in seen and tuple(v.astype(np.int64) for v in set_hash(u)) == (h1[at], h2[at]):
+                        seen.add(int(node[at]))
+                        ids.append(int(node[at]))
+                        sets.append(u)
+                        known.append(int(label[at]))
+            if len(ids) > 1:
+                edges += verified_links(ids, sets, np.array(known), percent)
         if edges:
             yield _edge_batch(edges)
 
 
+def _candidates(own: DataFrame, percent: int) -> DataFrame:
+    """Edges between nodes whose components hold every pair that shares a table and may reach the threshold."""
+    keyed = own.select("node", F.explode(F.slice("keys", 1, T)).alias("bucket"))
+    shared = materialize(keyed.groupBy("bucket").count().where("count > 1"), "neardup-shared")
+    met = materialize(keyed.join(shared, "bucket"), "neardup-buckets")
+    detail = own.select("node", "n", "keys", "sig")
+    small = met.where(F.col("count") <= BUCKET).select("node", "bucket")
+    again = met.where(F.col("count") > BUCKET).select("node", "bucket").join(detail.select("node", "keys"), "node")
+    again = again.select("node", F.explode(F.transform(F.slice("keys", T + 1, T), lambda k: F.xxhash64("bucket", k))).alias("bucket"))
+    sizes = again.groupBy("bucket").agg(F.count("*").alias("count"), F.min("node").alias("dst")).where("count > 1")
+    tables = materialize(again.join(sizes, "bucket"), "neardup-tables")
+    small = small.unionByName(tables.where(F.col("count") <= BUCKET).select("node", "bucket"))
+    stars = tables.where(F.col("count") > BUCKET).select(F.col("node").alias("src"), "dst")
+    dealt = small.join(detail, "node").repartition("bucket").sortWithinPartitions("bucket")
+    edges = materialize(dealt.mapInArrow(lambda it: _join_buckets(it, percent), "src long, dst long").union(stars), "neardup-candidates")
+    drop_tables(met, tables, shared)
+    return edges
+
+
+def _confirmed(members: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between members (node, first_id, h1, h2, n, cluster) of one cluster, confirmed on full sets."""
+    weight = members.groupBy("cluster").agg(F.sum("n").alias("weight"))
+    blocks = F.ceil(F.col("weight") / CLUSTER_SHINGLES).cast("int")
+    members = materialize(members.join(weight.select("cluster", blocks.alias("blocks")), "cluster"), "neardup-members")
+
+    def verify(units: DataFrame, name: str) -> DataFrame:
+        dealt = units.join(rows, F.col("first_id") == F.col("doc_id")).select("node", "h1", "h2", "label", *_UNIT, "text")
+        dealt = dealt.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
+        return materialize(dealt.mapInArrow(lambda it: _verify(it, words, percent), "src long, dst long"), name)
+
+    def unit(*columns) -> list:
+        return ["node", "first_id", "h1", "h2", "label", *(F.lit(c).cast("long").alias(n) if isinstance(c, int) else c.cast("long").alias(n) for c, n in zip(columns, _UNIT, strict=True))]
+
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    alone = members.withColumn("label", F.col("node")).withColumn("block", block)
+    large = alone.where("blocks > 1")
+    least = F.min_by(F.struct("node", "first_id", "h1", "h2", "label"), F.xxhash64("node"))
+    leaders = large.groupBy("cluster", F.pmod("block", F.lit(LEADERS))).agg(least.alias("x"), F.max("blocks").alias("blocks"))
+    leaders = leaders.select("cluster", "x.*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    first = alone.select(unit(F.col("cluster"), 0, F.col("block"), 0, F.col("block"))).unionByName(leaders.select(unit(F.col("cluster"), 0, F.col("block"), 0, F.col("block"))))
+    links = verify(first, "neardup-links")
+    if not members.where("blocks > 1").head(1):
+        drop_tables(members)
+        return links
+    united = connected_components(links, "neardup-united")
+    labels = members.where("blocks > 1").join(united, F.col("node") == F.col("id"), "left").withColumn("label", F.coalesce("component", "node")).drop("id", "component", "blocks")
+    open_ = labels.groupBy("cluster").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("cluster")
+    labels = materialize(labels.join(open_, "cluster"), "neardup-labels")
+    # a component too large for a task has blocks of its own, which do not meet each other; the others share blocks
+    parts = labels.groupBy("cluster", "label").agg(F.sum("n").alias("w"))
+    parts = parts.withColumn("own", F.when(F.col("w") > CLUSTER_SHINGLES, F.col("label")).otherwise(-1))
+    shares = parts.groupBy("cluster", "own").agg(F.sum("w").alias("w")).select("cluster", "own", F.ceil(F.col("w") / CLUSTER_SHINGLES).alias("blocks"))
+    parts = materialize(parts.drop("w").join(shares, ["cluster", "own"]), "neardup-parts")
+    placed = labels.join(parts, ["cluster", "label"]).withColumn("at", F.pmod(F.xxhash64(F.when(F.col("own") < 0, F.col("label")).otherwise(F.col("node"))), F.col("blocks")))
+    partners = parts.select("cluster", F.col("own").alias("other"), "blocks").distinct().select("cluster", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other_at"))
+    met = placed.join(partners, "cluster").where("own != other or own < 0")
+    mine, yours = F.struct(F.col("own"), F.col("at")), F.struct(F.col("other").alias("own"), F.col("other_at").alias("at"))
+    met = met.withColumn("x", F.least(mine, yours)).withColumn("y", F.greatest(mine, yours))
+    more = verify(met.select(unit(F.col("cluster"), F.col("x.own"), F.col("x.at"), F.col("y.own"), F.col("y.at"))), "neardup-more-links")
+    drop_tables(members, united, labels, parts)
+    return links.unionByName(more)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id of its group), kept."""
     ship_package(docs.sparkSession)
@@ -243,44 +326,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
         rows.mapInArrow(lambda it: _signatures(it, words), "doc_id long, n long, h1 long, h2 long, keys array<long>, sig binary"), "neardup-signatures"
     )
     usable = signed.where("n > 0 and doc_id is not null")
-    nodes = materialize(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "neardup-nodes")
-    # joined on the id as well, so the rows of a much-copied text are spread out
-    own = usable.join(nodes.withColumnRenamed("node", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").select("doc_id", "n", "keys", "sig")
-    own = materialize(own, "neardup-own")
-
-    keyed = own.select("doc_id", F.explode(F.slice("keys", 1, T)).alias("bucket"))
-    shared = materialize(keyed.groupBy("bucket").count().where("count > 1"), "neardup-shared")
-    met = materialize(keyed.join(shared, "bucket"), "neardup-buckets")
-    detail = own.select("doc_id", "n", "keys", "sig")
-    small = met.where(F.col("count") <= BUCKET).select("doc_id", "bucket")
-    again = met.where(F.col("count") > BUCKET).select("doc_id", "bucket").join(detail.select("doc_id", "keys"), "doc_id")
-    again = again.select("doc_id", F.explode(F.transform(F.slice("keys", T + 1, T), lambda k: F.xxhash64("bucket", k))).alias("bucket"))
-    sizes = again.groupBy("bucket").agg(F.count("*").alias("count"), F.min("doc_id").alias("dst")).where("count > 1")
-    tables = materialize(again.join(sizes, "bucket"), "neardup-tables")
-    small = small.unionByName(tables.where(F.col("count") <= BUCKET).select("doc_id", "bucket"))
-    stars = tables.where(F.col("count") > BUCKET).select(F.col("doc_id").alias("src"), "dst")
-    dealt = small.join(detail, "doc_id").repartition("bucket").sortWithinPartitions("bucket")
-    edges = dealt.mapInArrow(lambda it: _join_buckets(it, percent), "src long, dst long").union(stars)
-    clusters = connected_components(edges, "neardup-clusters")
-    drop_tables(met, tables, shared)
-
-    members = clusters.join(own.select(F.col("doc_id").alias("id"), "n"), "id").dropDuplicates(["id"])
-    weight = members.groupBy("component").agg(F.sum("n").alias("weight"))
-    blocks = F.ceil(F.col("weight") / CLUSTER_SHINGLES).cast("int")
-    members = members.join(weight.select("component", blocks.alias("blocks")), "component")
-    # a large cluster's blocks a, b, ... meet in the units (a, a), (a, b), (b, b), ...
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    whole = members.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "block", "blocks").join(rows, "doc_id")
-    units = whole.select("doc_id", "cluster", "block", "text", other.alias("other"))
-    units = units.select("doc_id", "cluster", "block", "text", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    units = units.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
-    links = units.mapInArrow(lambda it: _verify(it, words, percent), "src long, dst long")
-    groups = connected_components(links, "neardup-links")
-    drop_tables(own, clusters)
-
-    named = nodes.join(groups, F.col("node") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
-    named = materialize(named, "neardup-named")
+    # what equal sets have in common is aggregated before the shuffle, so a much-copied text is one row a task
+    nodes = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "keys", "sig")))
+    own = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
+    candidates = _candidates(own, percent)
+    clusters = connected_components(candidates, "neardup-clusters")
+    slim = own.select("node", "first_id", "h1", "h2", "n")
+    members = clusters.select(F.col("id").alias("node"), F.col("component").alias("cluster")).join(slim, "node")
+    links = _confirmed(members, rows, words, percent)
+    # ids that stand on several sets unite these
+    several = materialize(usable.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).where("a != b").select("doc_id"), "neardup-several")
+    sets = usable.select("doc_id", "h1", "h2").join(several, "doc_id").distinct().join(own.select("h1", "h2", "node"), ["h1", "h2"])
+    same = sets.select("doc_id", F.col("node").alias("src")).join(sets.groupBy("doc_id").agg(F.min("node").alias("dst")), "doc_id").select("src", "dst")
+    groups = connected_components(links.unionByName(same), "neardup-groups")
+    found = own.select("h1", "h2", "node", "first_id").join(groups, F.col("node") == F.col("id"), "left").select("h1", "h2", "first_id", F.coalesce("component", "node").alias("component"))
+    found = materialize(found, "neardup-found")
+    least = materialize(found.groupBy("component").agg(F.min("first_id").alias("least")), "neardup-least")
+    named = materialize(found.join(least, "component").select("h1", "h2", F.col("least").alias("component")), "neardup-named")
+    drop_tables(own, candidates, clusters, several, groups, found, least)
     linked = signed.select("doc_id", "n", "h1", "h2", (F.col("n") > 0).alias("any"))
     out = linked.join(named.withColumn("any", F.lit(True)), ["h1", "h2", "any"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
