@@ -61,4 +61,22 @@ STOP_WORDS = (
     "will", "with",
 )
 #: Outlet names that are written in capitals; fixed values.
-ACRONYMS = ("pib", "rbi", "sebi", "prs", "ap", "pti", "ani", "bbc", "cnn", "ndtv")
+ACRONYMS = ("ap", "pib", "rbi", "sci", "prs", "un", "us", "usa", "gst", "cjp", "rss")
+#: Words without weight in queries made from headlines; fixed values.
+HEADLINE_STOP_WORDS = (
+    "the", "a", "an", "of", "in", "on", "at", "to", "for", "and", "or", "as", "by", "over", "with", "amid", "after", "before",
+    "into", "from",
+)
+#: Hosts that answer no fetch without a subscription; fixed values.
+PAYWALLED_HOSTS = (
+    "www.reuters.com", "reuters.com", "www.bloomberg.com", "bloomberg.com", "www.nytimes.com", "nytimes.com", "www.ft.com",
+    "ft.com", "www.wsj.com", "wsj.com", "www.washingtonpost.com", "washingtonpost.com", "www.economist.com",
+    "economist.com", "www.pib.gov.in", "pib.gov.in", "www.ndtv.com", "ndtv.com", "newlinesmag.com",
+    "www.newlinesmag.com", "www.newyorker.com", "newyorker.com", "www.theatlantic.com", "theatlantic.com",
+)
+#: Parts of image URLs that are no content, and image hosts that allow no links; fixed values.
+JUNK_URL_PARTS = (
+    "/logo", "logo.", "logo-", "-logo", "/favicon", "favicon.", "/icon", "-icon.", "sprite", "/ad-", "/ads/", "adserver",
+    "doubleclick", "1x1.", "pixel.", "beacon", "avatar", "/subscribe", "/paywall",
+)
+JUNK_HOSTS = ("lookaside.fbsbx.com", "scontent.fbcdn.net", "pbs.twimg.com")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmark.functions.lexicons import ACRONYMS, BOILERPLATE, STOP_WORDS
+from quillmark.functions.lexicons import ACRONYMS, BOILERPLATE, HEADLINE_STOP_WORDS, PAYWALLED_HOSTS
 
 BOILERPLATE_PATTERN = "(?i)(" + "|".join(BOILERPLATE) + ")"
 SENTENCE_END = r"(?<=[.!?])\s+"
@@ -34,10 +34,10 @@ def event_summary(content: Column) -> Column:
 
 
 def humanise(name: Column) -> Column:
-    """Parts between `_` and `-`: acronyms in capitals, others capitalised."""
+    """Parts between `_` and `-`: acronyms in capitals, others capitalised; a name without parts is itself or unknown."""
     parts = F.filter(F.split(name, "[_-]"), lambda p: p != "")
     nice = F.transform(parts, lambda p: F.when(F.lower(p).isin(*ACRONYMS), F.upper(p)).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1000)))))
-    return F.array_join(nice, " ")
+    return F.when(F.size(parts) > 0, F.array_join(nice, " ")).otherwise(F.coalesce(blank_to_null(name), F.lit("unknown")))
 
 
 def slug(heading: Column) -> Column:
@@ -50,8 +50,13 @@ def url_host(url: Column) -> Column:
 
 
 def outlet_from_host(host: Column) -> Column:
-    first = F.element_at(F.split(F.regexp_replace(host, r"^(www\.|m\.)", ""), r"\."), 1)
-    return F.initcap(F.regexp_replace(first, "-", " "))
+    plain = F.regexp_replace(F.regexp_replace(F.lower(host), r"^www\.", ""), r"^m\.", "")
+    named = F.initcap(F.regexp_replace(F.element_at(F.split(plain, r"\."), 1), "-", " "))
+    return F.when(plain.contains("."), named).otherwise(F.coalesce(blank_to_null(plain), F.lit("source")))
+
+
+def is_paywalled(host: Column) -> Column:
+    return F.lower(host).isin(*PAYWALLED_HOSTS)
 
 
 def is_social_host(host: Column, domain: str = "reddit.com") -> Column:
@@ -80,8 +85,9 @@ def query_url(base: str, query: Column, when: str = "1d", lang: str = "en", coun
 
 
 def headline_query(headline: Column, most: int = 8) -> Column:
-    words = F.filter(F.regexp_extract_all(headline, F.lit(r"[\p{L}\p{N}_']+"), 0), lambda w: ~F.lower(w).isin(*STOP_WORDS))
-    return F.array_join(F.slice(words, 1, most), " ")
+    """The first words of a headline that say something; the headline itself where there are none."""
+    words = F.filter(F.regexp_extract_all(headline, F.lit(r"[A-Za-z][A-Za-z0-9'-]{1,}"), 0), lambda w: ~F.lower(w).isin(*HEADLINE_STOP_WORDS))
+    return F.coalesce(blank_to_null(F.array_join(F.slice(words, 1, most), " ")), F.trim(headline))
 
 
 def sentences(text: Column) -> Column:
@@ -115,13 +121,17 @@ def strip_reasoning(text: Column) -> Column:
 
 
 def research_query(text: Column) -> Column:
-    """What follows a RESEARCH: directive, on one line, six characters or more; else null."""
-    found = squeeze(F.regexp_extract(text, r"RESEARCH:\s*([^\n]+)", 1))
+    """What follows a RESEARCH: directive (in capitals) to the end, on one line, without quotes and full stops around it;
+    null under six characters."""
+    found = F.trim(F.regexp_extract(text, r"(?s)\bRESEARCH\s*:\s*(.+)", 1))
+    found = F.regexp_replace(F.regexp_replace(found, r"""^["'`]+|["'`]+$""", ""), r"\.+$", "")
+    found = squeeze(found)
     return F.when(F.length(found) >= 6, found)
 
 
 def strip_research(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)RESEARCH:.*", ""))
+    cut = F.regexp_replace(text, r"(?s)\s*\bRESEARCH\s*:.*", "")
+    return F.when(text.rlike(r"\bRESEARCH\s*:"), F.regexp_replace(cut, r"\s+$", "")).otherwise(text)
 
 
 def edition_date(path: Column) -> Column:

@@ -68,19 +68,24 @@ def mode(text: Column, words: tuple[str, ...] = CONTROVERSY) -> Column:
     return F.when(F.size(X.keyword_hits(text, words)) < 1, "report").otherwise("debate")
 
 
-def first_json(text: str | None) -> str | None:
-    """The first complete JSON object or array in noisy text, or null; strings and escapes are respected."""
+def first_json(text: str | None, only_first: bool = False) -> str | None:
+    """The first complete JSON object or array in noisy text, or null; strings and escapes are respected. With only_first,
+    null if what begins first is not complete.
+
+    A value is tried only where a bracket could begin one: after it comes a quote, a bracket, a digit or a literal."""
     import json
+    import re
 
     decoder = json.JSONDecoder()
     raw = text or ""
-    for at, c in enumerate(raw):
-        if c in "{[":
-            try:
-                value, _ = decoder.raw_decode(raw, at)
-            except ValueError:
-                continue
-            return json.dumps(value, ensure_ascii=False, sort_keys=True)
+    for found in re.finditer(r"\{(?=\s*[\"}])|\[(?=\s*[\"\[\]{\-0-9tfnNI])", raw):
+        try:
+            value, _ = decoder.raw_decode(raw, found.start())
+        except ValueError:
+            if only_first:
+                return None
+            continue
+        return json.dumps(value, ensure_ascii=False, sort_keys=True)
     return None
 
 
@@ -103,8 +108,12 @@ def salvaged_objects(text: str | None) -> list[str]:
     return out
 
 
-def extract_json(text: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(first_json), "string", F.PandasUDFType.SCALAR)(text)
+def extract_json(text: Column, only_first: bool = False) -> Column:
+    """first_json of a text. JSON that reads as it stands stays inside Spark; only noisy text goes to Python."""
+    plain = F.try_parse_json(text)
+    whole = F.when(plain.isNotNull() & F.trim(text).rlike(r"(?s)^[\[{]"), F.to_json(plain))
+    noisy = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else first_json(t, only_first)), "string", F.PandasUDFType.SCALAR)(F.when(whole.isNull(), text))
+    return F.coalesce(whole, noisy)
 
 
 def salvage_json(text: Column) -> Column:
@@ -113,3 +122,25 @@ def salvage_json(text: Column) -> Column:
             yield texts.map(salvaged_objects)
 
     return F.pandas_udf(each, "array<string>", F.PandasUDFType.SCALAR_ITER)(text)
+
+
+def drafts(answers: DataFrame, docs: DataFrame) -> DataFrame:
+    """(event_id, idx, claim_text, source_ids) of model answers (event_id, answer): the objects under `claims` or of a bare
+    list, of an answer that was cut off the complete ones. Ids (`source_ids` or `source_item_ids`) must be those of the
+    event's docs, each once, in order; claims without one, without text, or of page chrome go; the first PER_EVENT stay."""
+    json = extract_json(X.strip_reasoning(F.col("answer")), only_first=True)
+    v = F.try_parse_json(F.col("json"))
+    item = "array<variant>"
+    read = answers.select("event_id", "answer", json.alias("json")).withColumn("v", v)
+    listed = F.coalesce(F.try_variant_get("v", "$.claims", item), F.try_variant_get("v", "$", item))
+    cut = F.transform(salvage_json(F.when(F.col("listed").isNull(), F.col("answer"))), lambda t: F.try_parse_json(t))
+    read = read.withColumn("listed", listed).withColumn("items", F.coalesce("listed", cut, F.array().cast(item)))
+    rows = read.select("event_id", F.posexplode("items").alias("at", "x"))
+    ids = F.coalesce(F.try_variant_get("x", "$.source_ids", "array<string>"), F.try_variant_get("x", "$.source_item_ids", "array<string>"), F.array().cast("array<string>"))
+    rows = rows.select("event_id", "at", F.trim(F.try_variant_get("x", "$.text", "string")).alias("claim_text"), ids.alias("ids"))
+    rows = rows.where((F.col("claim_text") != "") & ~X.is_boilerplate(F.col("claim_text")))
+    known = docs.select("event_id", F.col("id").cast("string").alias("id")).distinct()
+    cited = rows.select("event_id", "at", "claim_text", F.posexplode("ids").alias("k", "id")).join(known, ["event_id", "id"])
+    whole = cited.groupBy("event_id", "at", "claim_text").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda y: y["id"])).alias("source_ids"))
+    n = F.row_number().over(Window.partitionBy("event_id").orderBy("at")) - 1
+    return whole.withColumn("idx", n).where(F.col("idx") < PER_EVENT).select("event_id", "idx", "claim_text", "source_ids")

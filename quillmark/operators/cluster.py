@@ -2,36 +2,97 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as X
 from quillmark.functions.vector import dot, norm
 from quillmark.operators.graph import connected_components
+from quillmark.runtime import materialize
+
+
+#: Pivots that vectors are dealt by at most, and vectors that make one more pivot worth while.
+PIVOTS, PER_PIVOT = 64, 500
 
 
-def band_pairs(df: DataFrame, id_col: str, ts_col: str, hours: float, extra: list[str] | None = None) -> DataFrame:
-    """Pairs i < j at most `hours` apart: each row meets its own band of that width and the next one by equality."""
+def band_pairs(df: DataFrame, id_col: str, ts_col: str, hours: float, extra: list[str] | None = None, on: list[str] | None = None) -> DataFrame:
+    """Pairs i < j at most `hours` apart, and equal in the columns `on`: the earlier row of a pair meets the later one in
+    its own band of that width or in the next, so each row is in two bands at most."""
     micros = F.unix_micros(ts_col)
     width = int(hours * 3_600_000_000)
+    cols, on = [id_col, *(extra or [])], on or []
+    band = F.floor(micros / width)
+    a = df.select(*(F.col(c).alias(f"{c}_a") for c in cols), *on, micros.alias("t_a"), band.alias("band"))
+    b = df.select(*(F.col(c).alias(f"{c}_b") for c in cols), *on, micros.alias("t_b"), F.explode(F.array(band - 1, band)).alias("band"))
+    later = (F.col("t_a") < F.col("t_b")) | ((F.col("t_a") == F.col("t_b")) & (F.col(f"{id_col}_a") < F.col(f"{id_col}_b")))
+    met = a.join(b, ["band", *on]).where(later & (F.col("t_b") - F.col("t_a") <= width))
+    first = F.col(f"{id_col}_a") < F.col(f"{id_col}_b")
+    return met.select(*(F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{k}") for c in cols for k, x, y in (("i", "a", "b"), ("j", "b", "a"))), *on)
+
+
+def _cells(pivots: list[list[float]], reach: float, all_cells: bool) -> Column:
+    """Of a unit vector: the cell of its nearest pivot, or all cells that may hold a vector within `reach` of it."""
+    import numpy as np
+
+    p = np.array(pivots, np.float64)
+
+    def cells(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        far = np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * x @ p.T))
+        if not all_cells:
+            return pd.Series(far.argmin(axis=1).astype("int64"))
+        # a vector at most r away has its own nearest pivot at most 2r further from here than the nearest one is
+        near = far <= far.min(axis=1)[:, None] + 2 * reach + 1e-9
+        return pd.Series([np.flatnonzero(n).astype("int64") for n in near])
+
+    return F.pandas_udf(cells, "array<long>" if all_cells else "long", F.PandasUDFType.SCALAR)(F.col("u"))
+
+
+def similar_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, ts_col: str | None = None, hours: float = 48.0, extra: list[str] | None = None) -> DataFrame:
+    """Pairs i < j of vectors with a cosine of at least the threshold (rounded to 6 digits), with a time column only
+    those at most `hours` apart: columns of i and j, similarity. Rows without a vector take no part.
+
+    Vectors are dealt to the cells of a bounded sample of them; one meets the cells that may hold something near enough,
+    which the triangle inequality tells, so no pair is lost. The sample holds one vector in PER_PIVOT, PIVOTS at most."""
     cols = [id_col, *(extra or [])]
-    a = df.select(*(F.col(c).alias(f"{c}_i") for c in cols), micros.alias("t_i"), F.floor(micros / width).alias("band"))
-    b = df.select(*(F.col(c).alias(f"{c}_j") for c in cols), micros.alias("t_j"), F.explode(F.array(F.floor(micros / width) - 1, F.floor(micros / width), F.floor(micros / width) + 1)).alias("band"))
-    near = (F.col(f"{id_col}_i") < F.col(f"{id_col}_j")) & (F.abs(F.col("t_i") - F.col("t_j")) <= width)
-    return a.join(b, "band").where(near).drop("band")
+    unit = F.transform(vector, lambda x: x.cast("double") / norm(F.col(vector)))
+    rows = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(*cols, *([ts_col] if ts_col else []), unit.alias("u"), F.size(vector).alias("dim"))
+    rows = materialize(rows, "similar-vectors")
+    shapes = rows.groupBy("dim").count().collect()  # a row per dimension
+    out = []
+    for dim, n in shapes:
+        own = rows.where(F.col("dim") == dim)
+        sample = [list(r[0]) for r in own.select("u").orderBy(F.xxhash64("u"), id_col).limit(min(PIVOTS, n // PER_PIVOT + 1)).collect()]
+        reach = math.sqrt(max(0.0, 2 - 2 * (threshold - 1e-6)))
+        at = own.withColumn("home", _cells(sample, reach, False))
+        to = own.withColumn("cell", F.explode(_cells(sample, reach, True)))
+        if ts_col:
+            micros, width = F.unix_micros(ts_col), int(hours * 3_600_000_000)
+            band = F.floor(micros / width)
+            at, to = at.withColumns({"t": micros, "band": band}), to.withColumns({"t": micros, "band": F.explode(F.array(band - 1, band, band + 1))})
+        keys = ["cell", *(["band"] if ts_col else [])]
+        a = at.select(*(F.col(c).alias(f"{c}_i") for c in cols), F.col("u").alias("u_i"), F.col("home").alias("cell"), *(["band", F.col("t").alias("t_i")] if ts_col else []))
+        b = to.select(*(F.col(c).alias(f"{c}_j") for c in cols), F.col("u").alias("u_j"), "cell", *(["band", F.col("t").alias("t_j")] if ts_col else []))
+        # i in its own cell meets j wherever that may be near: each pair once, in the cell (and band) of its smaller id
+        met = a.join(b, keys).where(F.col(f"{id_col}_i") < F.col(f"{id_col}_j"))
+        if ts_col:
+            met = met.where(F.abs(F.col("t_i") - F.col("t_j")) <= width)
+        sim = F.round(dot(F.col("u_i"), F.col("u_j")), 6)
+        out.append(met.select(*(f"{c}_{k}" for c in cols for k in "ij"), sim.alias("similarity")).where(F.col("similarity") >= threshold))
+    if not out:
+        return df.sparkSession.createDataFrame([], ", ".join(f"{c}_{k} {df.schema[c].dataType.simpleString()}" for c in cols for k in "ij") + ", similarity double")
+    pairs = out[0]
+    for more in out[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs
 
 
 def dense_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, ts_col: str | None = None, hours: float = 48.0) -> DataFrame:
     """Pairs of vectors with a cosine of at least the threshold; with a time column only pairs in its band."""
-    unit = F.transform(vector, lambda x: x.cast("double") / norm(F.col(vector)))
-    if ts_col:
-        pairs = band_pairs(df.withColumn("u", unit), id_col, ts_col, hours, ["u"])
-    else:
-        u = df.select(F.col(id_col), unit.alias("u"))
-        i, j = (u.select(F.col(id_col).alias(f"{id_col}_{k}"), F.col("u").alias(f"u_{k}")) for k in "ij")
-        pairs = i.join(j, F.col(f"{id_col}_i") < F.col(f"{id_col}_j"))
-    sim = F.round(dot(F.col("u_i"), F.col("u_j")), 6)
-    return pairs.select(f"{id_col}_i", f"{id_col}_j", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    return similar_pairs(df, id_col, vector, threshold, ts_col, hours)
 
 
 def sparse_pairs(weights: DataFrame, id_col: str, threshold: float) -> DataFrame:
@@ -62,6 +123,12 @@ def rare_pairs(weights: DataFrame, id_col: str, threshold: float) -> DataFrame:
     return sums.where(F.col("similarity") >= threshold)
 
 
+def event_clusters(items: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of items by components of pairs, and the bridge (event_id, raw_item_id) of their items."""
+    member = materialize(components(pairs, items, "id").select(F.col("component").alias("event_id"), F.col("id").alias("raw_item_id")), "event-items")
+    return _events(items, member), member
+
+
 def components(pairs: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     """(id, component) of all nodes; those without a pair are components of their own."""
     found = connected_components(pairs.select(F.col(pairs.columns[0]).alias("src"), F.col(pairs.columns[1]).alias("dst")), "clusters")
@@ -71,10 +138,14 @@ def components(pairs: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
 def cluster_events(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """Events of items (id, source_name, source_tier, title, content, published_at, fetched_at) by components of pairs:
     event_id (smallest item), title, summary, first_seen_at, last_seen_at, tier_1_anchor, items."""
+    return event_clusters(items, pairs)[0]
+
+
+def _events(items: DataFrame, member: DataFrame) -> DataFrame:
     ts = F.coalesce("published_at", "fetched_at")
-    member = components(pairs, items, "id").join(items.withColumn("ts", ts), "id")
+    member = member.join(items.withColumn("ts", ts), F.col("raw_item_id") == F.col("id"))
     best: Column = F.struct("source_tier", -F.unix_micros("ts"), "id")
-    out = member.groupBy(F.col("component").alias("event_id")).agg(
+    out = member.groupBy("event_id").agg(
         F.min_by(F.struct("title", "content"), best).alias("r"), F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at"),
         F.bool_or(F.col("source_tier") <= 2).alias("tier_1_anchor"), F.count("*").alias("num_items"),
     )
@@ -86,10 +157,25 @@ def representative(items: DataFrame, key: str) -> DataFrame:
     return items.groupBy(key).agg(F.min_by("id", F.struct("source_tier", -F.unix_micros(ts), "id")).alias("representative"))
 
 
-def nearest(queries: DataFrame, items: DataFrame, key: str, most: float, k: int) -> DataFrame:
-    """Per query (key, centroid) the k items (id, embedding) at a cosine distance under `most`. The side of queries is
-    not assumed small: both meet by a nested loop that Spark plans by their sizes."""
-    distance = F.round(1 - dot(F.col("centroid"), F.col("embedding")) / (norm(F.col("centroid")) * norm(F.col("embedding"))), 6)
-    near = queries.join(items, F.lit(True)).select(key, "id", distance.alias("distance")).where(F.col("distance") < most)
+def nearest(queries: DataFrame, items: DataFrame, key: str, most: float, k: int, but: DataFrame | None = None) -> DataFrame:
+    """Per query (key, centroid) the k items (id, embedding) at a cosine distance under `most`, without the pairs (key, id)
+    in `but`. Both sides are dealt by a bounded sample of the items, as in similar_pairs, and meet only where the triangle
+    inequality allows a distance under `most`."""
+    unit = lambda c: F.transform(c, lambda x: x.cast("double") / norm(F.col(c)))
+    q = queries.where(F.size("centroid") > 0).select(key, unit("centroid").alias("u"), F.size("centroid").alias("dim"))
+    x = materialize(items.where(F.size("embedding") > 0).select("id", unit("embedding").alias("u"), F.size("embedding").alias("dim")), "nearest-items")
+    found = None
+    for dim, n in x.groupBy("dim").count().collect():  # a row per dimension
+        own = x.where(F.col("dim") == dim)
+        sample = [list(r[0]) for r in own.select("u").orderBy(F.xxhash64("u"), "id").limit(min(PIVOTS, n // PER_PIVOT + 1)).collect()]
+        reach = math.sqrt(max(0.0, 2 * (most + 1e-6)))
+        a = q.where(F.col("dim") == dim).withColumn("cell", F.explode(_cells(sample, reach, True))).select(key, F.col("u").alias("v"), "cell")
+        b = own.withColumn("cell", _cells(sample, reach, False)).select("id", F.col("u").alias("w"), "cell")
+        met = a.join(b, "cell").select(key, "id", F.round(1 - dot(F.col("v"), F.col("w")), 6).alias("distance")).where(F.col("distance") < most)
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        found = queries.select(key, F.lit(None).alias("id").cast(items.schema["id"].dataType), F.lit(0.0).alias("distance")).limit(0)
+    if but is not None:
+        found = found.join(but.select(key, "id"), [key, "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)

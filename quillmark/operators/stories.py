@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as X
-from quillmark.functions.vector import dot
+from quillmark.functions.lexicons import JUNK_HOSTS, JUNK_URL_PARTS
+from quillmark.operators.cluster import similar_pairs
 from quillmark.runtime import drop_tables, materialize
 
 #: Similarities from which stories may be one, for pairs with events on the ground, and without a judge; fixed values.
@@ -15,18 +16,25 @@ SAME, SAME_GROUND, SAME_UNJUDGED = 0.80, 0.87, 0.92
 
 def story_pairs(stories: DataFrame, base: float = SAME, ground: float = SAME_GROUND) -> DataFrame:
     """Pairs of stories (story_id, unit vector u, is_ground) with each pair's own threshold; the smaller id first."""
-    i, j = (stories.select(F.col("story_id").alias(k), F.col("u").alias(f"u_{k}"), F.col("is_ground").alias(f"g_{k}")) for k in "ij")
-    sim = F.round(dot(F.col("u_i"), F.col("u_j")), 6)
-    pairs = i.join(j, F.col("i") < F.col("j")).select("i", "j", sim.alias("similarity"), F.when(F.col("g_i") | F.col("g_j"), ground).otherwise(base).alias("threshold"))
-    return pairs.where("similarity >= threshold")
+    pairs = similar_pairs(stories, "story_id", "u", min(base, ground), extra=["is_ground"])
+    both = pairs.select(F.col("story_id_i").alias("i"), F.col("story_id_j").alias("j"), "similarity", F.when(F.col("is_ground_i") | F.col("is_ground_j"), ground).otherwise(base).alias("threshold"))
+    return both.where("similarity >= threshold")
 
 
-def greedy_dedup(pairs: DataFrame, stories: DataFrame, least: float = SAME_UNJUDGED) -> DataFrame:
-    """(dropped, kept): pairs in descending similarity, each with both stories still there drops the one of lower
-    importance (nulls lowest; of equals the second). Rounds decide all pairs that come first for both of their stories
-    at once, which is the same as one after another and needs no single task."""
+def judged(pairs: DataFrame, verdicts: DataFrame | None = None, least: float = SAME_UNJUDGED) -> DataFrame:
+    """Of pairs (i, j, similarity) those that are one story: by verdicts (i, j, same), without one by their similarity."""
+    if verdicts is None:
+        return pairs.where(F.col("similarity") >= least)
+    said = verdicts.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "same").groupBy("i", "j").agg(F.bool_or("same").alias("same"))
+    return pairs.join(said, ["i", "j"], "left").where(F.coalesce("same", F.col("similarity") >= least)).drop("same")
+
+
+def greedy_dedup(pairs: DataFrame, stories: DataFrame, least: float = SAME_UNJUDGED, verdicts: DataFrame | None = None) -> DataFrame:
+    """(dropped, kept): pairs in descending similarity that are one story; each with both stories still there drops the one
+    of lower importance (nulls lowest; of equals the second). Rounds decide all pairs that come first for both of their
+    stories at once, which is the same as one after another and needs no single task."""
     rank = stories.select("story_id", F.coalesce("importance_score", F.lit(-1e18)).alias("importance"))
-    open_ = pairs.where(F.col("similarity") >= least).select("i", "j", "similarity")
+    open_ = judged(pairs, verdicts, least).select("i", "j", "similarity")
     open_ = open_.join(rank.select(F.col("story_id").alias("i"), F.col("importance").alias("a")), "i").join(rank.select(F.col("story_id").alias("j"), F.col("importance").alias("b")), "j")
     left, done = materialize(open_, "greedy-pairs"), []
     while left.head(1):
@@ -60,7 +68,10 @@ def large_enough(width: Column, height: Column) -> Column:
 
 
 def is_junk_url(url: Column) -> Column:
-    return url.isNull() | (url == "") | url.startswith("data:") | url.rlike(r"(?i)(sprite|pixel|spacer|blank|logo|icon|avatar|1x1|tracking|doubleclick)")
+    """Empty, inline, with a part that marks page furniture, or on a host that allows no links."""
+    low = F.lower(url)
+    part = F.exists(F.array(*map(F.lit, JUNK_URL_PARTS)), lambda p: low.contains(p))
+    return F.coalesce((url == "") | url.startswith("data:") | part | X.url_host(url).isin(*JUNK_HOSTS), F.lit(True))
 
 
 def top_images(candidates: DataFrame, k: int = 3) -> DataFrame:
@@ -77,20 +88,3 @@ def citations(cited: DataFrame, key: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(key, "name").orderBy("at"))
     one = cited.withColumn("n", n).where("n = 1").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.format_string("[%s](%s)", "name", "url").alias("c")))).alias("l"))
     return one.select(key, F.array_join(F.transform("l", lambda x: x["c"]), ", ").alias("citations"))
-
-
-def edition_lines(stories: DataFrame, date: str) -> DataFrame:
-    """stories (story_id, headline, importance_score, body, mode): the numbered lines of an edition, by importance
-    (nulls last) then id. The contents come first, then each story."""
-    number = F.row_number().over(Window.orderBy(F.desc_nulls_last("importance_score"), "story_id"))  # an edition's stories
-    s = stories.withColumn("n", number)
-    head = F.array(F.lit(f"# Edition {date}"), F.lit(""))
-    toc = s.select(F.col("n").alias("a"), F.lit(0).alias("part"), F.format_string("%d. [%s](#%s) (%s)", F.col("n"), F.col("headline"), X.slug(F.col("headline")), F.col("mode")).alias("text"))
-    body = s.select(F.col("n").alias("a"), F.lit(1).alias("part"), F.concat_ws("\n", F.lit(""), F.concat(F.lit("## "), F.col("headline")), F.lit(""), F.col("body")).alias("text"))
-    first = stories.sparkSession.range(1).select(F.posexplode(head).alias("a", "text")).select("a", F.lit(-1).alias("part"), "text")
-    lines = first.unionByName(toc).unionByName(body)
-    return lines.select(F.row_number().over(Window.orderBy("part", "a")).alias("line_no"), "text")
-
-
-def write_edition(lines: DataFrame, path: str) -> None:
-    lines.orderBy("line_no").select("text").coalesce(1).write.mode("overwrite").text(path)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmark.functions import lexicons
 from quillmark.functions import text as X
 from quillmark.functions import vector as V
 from quillmark.operators import claims as C
@@ -37,9 +38,9 @@ def query(oracle: str | None = None):
 
 
 def _load() -> None:
-    from quillmark.plans import story_queries  # registers its queries; it needs this module first
+    from quillmark.plans import stage_queries, story_queries  # these register their queries and need this module first
 
-    assert story_queries
+    assert stage_queries and story_queries
 
 
 def queries() -> dict[str, Query]:
@@ -264,8 +265,8 @@ def url_parts(spark, d):
     return A.table(spark, d, "pages").select("page_id", host.alias("host"), X.is_social_host(host, "example.com").alias("on_site"), F.lower(X.normalise_image_url(u)).alias("plain"), X.url_hash(u).alias("hash"), X.extension(u).alias("ext"))
 
 
-@query("""SELECT id, array_to_string(list_slice(list_filter(regexp_extract_all(content, '[\\p{L}\\p{N}_'']+'), lambda w: lower(w) NOT IN (%s)), 1, 8), ' ') AS q FROM raw_items"""
-       % ", ".join(f"'{w}'" for w in X.STOP_WORDS))
+@query("""SELECT id, coalesce(nullif(array_to_string(list_slice(list_filter(regexp_extract_all(content, '[A-Za-z][A-Za-z0-9''-]{1,}'), lambda w: lower(w) NOT IN (%s)), 1, 8), ' '), ''), trim(content)) AS q FROM raw_items"""
+       % ", ".join(f"'{w}'" for w in lexicons.HEADLINE_STOP_WORDS))
 def headline_query(spark, d):
     return A.raw_items(spark, d).select("id", X.headline_query(F.col("content")).alias("q"))
 
@@ -340,7 +341,7 @@ _BUCKETS = 1 << 20
 _TF = """t AS (SELECT id, list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]{2,}'), lambda w: w NOT IN (%s)) AS t FROM raw_items),
 g AS (SELECT id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda k: t[k] || ' ' || t[k + 1]))) AS gram FROM t),
 c AS (SELECT id, CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) %% 1048576 AS bucket, count(*) AS n FROM g GROUP BY 1, 2),
-w AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM c)""" % ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+w AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM c)""" % ", ".join(f"'{w}'" for w in lexicons.STOP_WORDS)
 
 
 @query(", " + _TF + " SELECT id, bucket, round(weight, 9) AS weight FROM w")
@@ -529,12 +530,6 @@ def edition_toc(spark, d):
     return A.stories(spark, d).where("editor_approved").select(n.cast("long").alias("n"), "headline", X.slug(F.col("headline")).alias("anchor"))
 
 
-@query()
-def edition_markdown(spark, d):
-    s = A.stories(spark, d).where("editor_approved").select("story_id", "headline", "importance_score", F.concat(F.lit("Body of "), "headline").alias("body"), F.lit("report").alias("mode"))
-    return stories.edition_lines(s, "2024-01-03")
-
-
 @query("""WITH x AS (SELECT 1) SELECT event_id, coalesce(json_extract_string(props, '$.page'), '-') AS page, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
 def json_path_defaults(spark, d):
     v = F.try_parse_json("props")

@@ -100,15 +100,18 @@ def extract_body(html: Column) -> Column:
 
 class _Images(HTMLParser):
     META = ("og:image", "og:image:secure_url", "twitter:image")
+    TOLD = ("og:description", "twitter:description")
 
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.lead, self.images, self.figure, self.caption = base, {}, [], 0, None
+        self.base, self.lead, self.told, self.images, self.figure, self.caption = base, {}, {}, [], 0, None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag == "meta" and (a.get("property") or a.get("name")) in self.META and a.get("content"):
-            self.lead.setdefault(a.get("property") or a.get("name"), urljoin(self.base, a["content"]))
+            self.lead.setdefault(a.get("property") or a.get("name"), urljoin(self.base, a["content"].strip()))
+        elif tag == "meta" and (a.get("property") or a.get("name")) in self.TOLD and a.get("content"):
+            self.told.setdefault(a.get("property") or a.get("name"), a["content"].strip()[:300])
         elif tag == "figure":
             self.figure = len(self.images)
         elif tag == "figcaption":
@@ -128,7 +131,18 @@ class _Images(HTMLParser):
             self.caption += data
 
 
-CANDIDATES = "page_id long, at int, is_lead boolean, url string, srcset string, width string, height string, caption string"
+def largest(srcset: str | None) -> str | None:
+    """The URL of the largest width; the first one of equals."""
+    rated = []
+    for at, part in enumerate((srcset or "").split(",")):
+        words = part.split()
+        if words:
+            width = words[1][:-1] if len(words) > 1 and words[1].endswith("w") else ""
+            rated.append((-int(width) if width.isdecimal() else 0, at, words[0]))
+    return min(rated)[2] if rated else None
+
+
+CANDIDATES = "page_id long, at int, is_lead boolean, url string, width string, height string, caption string"
 
 
 def image_candidates(pages: DataFrame) -> DataFrame:
@@ -142,20 +156,22 @@ def image_candidates(pages: DataFrame) -> DataFrame:
             for page, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
                 p = _Images(url or "")
                 p.feed(html or "")
-                lead = next((p.lead[m] for m in _Images.META if m in p.lead), None)
-                if lead:
-                    rows.append((page, -1, True, lead, None, None, None, next((i["caption"] for i in p.images if urljoin(url or "", i["src"]) == lead), "")))
-                rows += [(page, k, False, urljoin(url or "", i["src"]) if i["src"] else "", i["srcset"], i["width"], i["height"], i["caption"]) for k, i in enumerate(p.images)]
+                leads = [p.lead[m] for m in _Images.META if m in p.lead]
+                told = next((p.told[m] for m in _Images.TOLD if m in p.told), "")
+                # all of them, as the first one may be junk; what the page says of itself is the caption
+                rows += [(page, k - len(leads), True, lead, None, None, told or next((i["caption"] for i in p.images if i["caption"] and urljoin(url or "", i["src"]) == lead), "")) for k, lead in enumerate(leads)]
+                for k, i in enumerate(p.images):
+                    src = largest(i["srcset"]) or i["src"].strip()
+                    rows.append((page, k, False, urljoin(url or "", src) if src else "", i["width"], i["height"], i["caption"]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
 
     found = pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(scan, CANDIDATES)
-    best = X.pick_from_srcset(F.col("srcset"))
     w, h = X.dimension(F.col("width")), X.dimension(F.col("height"))
     caption = F.substring("caption", 1, 300)
-    out = found.select("page_id", "at", "is_lead", F.coalesce(X.blank_to_null(best), F.col("url")).alias("url"), w.alias("width"), h.alias("height"), caption.alias("caption"))
+    out = found.select("page_id", "at", "is_lead", F.col("url"), w.alias("width"), h.alias("height"), caption.alias("caption"))
     out = out.where(~is_junk_url(F.col("url")) & large_enough(F.col("width"), F.col("height")))
-    lead = out.where("is_lead").select("page_id", F.col("url").alias("lead"))
-    rest = out.join(lead, "page_id", "left").where("is_lead or lead is null or url != lead")
+    lead = out.where("is_lead").groupBy("page_id").agg(F.min_by("url", "at").alias("lead"), F.min("at").alias("lead_at"))
+    rest = out.join(lead, "page_id", "left").where("CASE WHEN is_lead THEN at = lead_at ELSE lead IS NULL OR url != lead END")
     score = F.when(F.col("is_lead"), 100.0).otherwise(image_score(F.col("at"), F.col("width"), F.col("height"), F.col("caption")))
     return rest.select("page_id", "at", "url", "width", "height", "caption", F.round(score, 6).alias("score"))
 

@@ -109,18 +109,6 @@ def test_backends(spark):
     assert models.route({"default": Echo()}, "judge").name == "echo" and models.route({}, "judge") is None
 
 
-def test_edition_lines_are_numbered_by_importance(spark):
-    from quillmark.operators.stories import edition_lines
-
-    rows = [(1, "Low one", 1.0, "b1", "report"), (2, "None", None, "b2", "debate"), (3, "Top one", 5.0, "b3", "report")]
-    got = edition_lines(spark.createDataFrame(rows, "story_id long, headline string, importance_score double, body string, mode string"), "2026-01-01").orderBy("line_no").collect()
-    assert [r.text for r in got] == [
-        "# Edition 2026-01-01", "", "1. [Top one](#top-one) (report)", "2. [Low one](#low-one) (report)", "3. [None](#none) (debate)",
-        "\n## Top one\n\nb3", "\n## Low one\n\nb1", "\n## None\n\nb2",
-    ]
-    assert [r.line_no for r in got] == list(range(1, 9))
-
-
 def test_page_text_keeps_blocks_outside_chrome():
     from quillmark.sources.feeds import page_text
 
