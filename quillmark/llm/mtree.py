@@ -35,11 +35,11 @@ from quillmark.llm.common import drop_tables, materialize, ship_package
 BLOCK_BYTES, QUERIES, PAGE, PIVOTS, SHARED = 8 << 20, 1024, 256, 512, 64
 
 
-def scores(vectors: np.ndarray, floats: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products of int64 vectors (and the same as floats) with q."""
+def scores(vectors: np.ndarray, floats: np.ndarray, q: np.ndarray, most: float | None = None) -> np.ndarray:
+    """Integer inner products of int64 vectors (and the same as floats) with q; most: their largest absolute component."""
     near = floats @ q.astype(np.float64)
-    most = float(np.abs(floats).max(initial=0.0)) * float(np.abs(q).max(initial=0)) * len(q)
-    if most < 2.0**53:
+    most = float(np.abs(floats).max(initial=0.0)) if most is None else most
+    if most * float(np.abs(q).max(initial=0)) * len(q) < 2.0**53:
         return near.astype(np.int64)
     if np.abs(near).max(initial=0.0) >= 2.0**63 * (1 - 1e-9):
         raise ValueError("an inner product does not fit in 64 bits")
@@ -54,6 +54,16 @@ class MTree:
         self._measure()
         self.pages: list[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.root = self._build(np.arange(len(ids)), None) if len(ids) else -1
+        self._line_up()
+
+    def _line_up(self) -> None:
+        """Puts the vectors in the order of the leaves, so that a leaf's vectors lie in a row."""
+        order = np.concatenate([np.empty(0, np.int64), *(p[1] for p in self.pages if p[0])]).astype(np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.ids, self.vectors = self.ids[order], self.vectors[order]
+        self.pages = [(leaf, place[obj], *rest) for leaf, obj, *rest in self.pages]
+        self._measure()
 
     def _measure(self) -> None:
         self.floats = self.vectors.astype(np.float64)
@@ -62,6 +72,7 @@ class MTree:
         # the further component; routing vectors are vectors of the tree, so they have it too
         self.extra = np.sqrt(np.maximum(0.0, self.top - square))
         self.visited = 0
+        self.most = float(np.abs(self.floats).max(initial=0.0))
 
     def _distance(self, x: int, at: np.ndarray) -> np.ndarray:
         d = self.floats[at] - self.floats[x]
@@ -127,13 +138,17 @@ class MTree:
                 break
             self.visited += 1
             leaf, obj, dist, radius, child = self.pages[page]
-            if np.isfinite(near) and np.isfinite(bound):  # parent distances rule out entries without a distance
-                keep = np.abs(dist - near) - radius <= bound
-                obj, radius, child = obj[keep], radius[keep], child[keep]
-            if not len(obj):
-                continue
+            near_parent = np.isfinite(near) and np.isfinite(bound)
             if leaf:
-                score, ids = scores(self.vectors[obj], self.floats[obj], q), self.ids[obj]
+                # parent distances rule out entries without a distance; a leaf without any to rule out is a slice
+                own = slice(int(obj[0]), int(obj[0]) + len(obj))
+                if near_parent:
+                    keep = np.abs(dist - near) <= bound
+                    if not keep.any():
+                        continue
+                    if not keep.all():
+                        own = obj[keep]
+                score, ids = scores(self.vectors[own], self.floats[own], q, self.most), self.ids[own]
                 least = best_s[-1] if len(best_s) == k else floor
                 ok = ids != query_id
                 if least is not None:
@@ -145,6 +160,9 @@ class MTree:
                     if len(best_s) == k:
                         bound = min(bound, reach(best_s[-1]))
             else:
+                if near_parent:
+                    keep = np.abs(dist - near) - radius <= bound
+                    obj, radius, child = obj[keep], radius[keep], child[keep]
                 near_child = np.sqrt(np.maximum(0.0, base - 2 * (self.floats[obj] @ as_float)))
                 for low, c, d in zip((near_child - radius).tolist(), child.tolist(), near_child.tolist(), strict=True):
                     if low <= bound:
