@@ -26,13 +26,19 @@ def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir), target_entropy=0.95)
 
 
+#: How texts begin that stand for licence files; fixed value.
+_LICENCE_BEGINS = r"(?i)^[^a-z]*(licensed under|released under|this work is licensed|permission is hereby granted|redistribution and use|all rights reserved|(mit|isc|bsd|apache|mozilla public|gnu)\b.{0,24}licen[cs]e)"
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path, so each lies at source/lang/doc_id; texts of at most two lines are notice files."""
+    """Documents have no path, so each stands at source/lang/<doc_id>.txt, and one whose text begins as licence texts do
+    at source/lang/LICENSE-<doc_id>."""
     from quillmark.llm.licenses import scan_licenses
 
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    notice = ~F.coalesce(F.col("text"), F.lit("")).contains("\n") | (F.size(F.split("text", "\n", 4)) == 2)
-    return scan_licenses(_documents(spark, sf_dir), path, notice)
+    licence = F.coalesce(F.col("text").rlike(_LICENCE_BEGINS), F.lit(False))
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    path = F.concat_ws("/", "source", "lang", F.when(licence, F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number, F.lit(".txt"))))
+    return scan_licenses(_documents(spark, sf_dir), path)
 
 
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +157,9 @@ FROM r JOIN x USING (source, block, epoch) WHERE epoch < epochs OR before + reac
 def _op3() -> str:
     from quillmark.llm.licenses import oracle_sql as scan
 
-    return scan("concat_ws('/', source, lang, CAST(doc_id AS VARCHAR))", "len(string_split(coalesce(text, ''), chr(10))) <= 2")
+    licence = f"coalesce(regexp_matches(text, '{_LICENCE_BEGINS}'), FALSE)"
+    number = "coalesce(CAST(doc_id AS VARCHAR), '')"
+    return scan(f"concat_ws('/', source, lang, CASE WHEN {licence} THEN 'LICENSE-' || {number} ELSE {number} || '.txt' END)", licence)
 
 
 def oracle_sql() -> dict[str, str]:
