@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.llm import encoding, mixing, mtree, neardup, omh, packing, quality, suffixdedup, textvec, tokenids, toxicity
+from quillmark.llm import encoding, licenses, mixing, mtree, neardup, omh, packing, quality, suffixdedup, textvec, tokenids, toxicity
 from quillmark.llm.common import scratch_path, tokenizer_path
 from quillmark.llm.encoding import Encoder
 from quillmark.llm.licenses import scan_licenses
@@ -455,6 +455,53 @@ def test_licenses_in_wrapped_headers_and_among_other_words(spark):
     assert got == {0: header("BSD-3-Clause"), 1: header("Proprietary"), 2: header("MIT"), 3: header("MPL-2.0"), 4: header("GPL-3.0"), 5: (None, None), 6: (None, None)}
 
 
+def brute_licenses(rows, threshold=licenses.THRESHOLD):
+    """(license, score) by id of rows (id, is_file, text), in plain Python."""
+    import math
+
+    every = [(n, licenses.words_of(t), False) for n, t in licenses.TEMPLATES] + [(n, licenses.words_of(t), True) for n, t in licenses.WHOLE_TEXTS]
+    vocabulary = {w for _, t, _ in every for w in t}
+    df = collections.Counter(w for _, _, text in rows for w in set(licenses.words_of(text or "")) & vocabulary)
+    weight = lambda w: math.log((1 + len(rows)) / (1 + (df[w] if w in vocabulary else 0))) + 1
+    vector = lambda words: {w: n * weight(w) for w, n in collections.Counter(words).items()}
+    out = {}
+    for i, is_file, text in rows:
+        pieces = [p for p in (licenses.words_of(x) for x in re.split(r"\n|(?<=[.!?;:])[\x09-\x0D\x20]+", text or "")) if p]
+        units = [(licenses.words_of(line), False) for line in (text or "").split("\n")]
+        units += [(sum(pieces[a:b], []), False) for a in range(len(pieces)) for b in range(a + 1, len(pieces) + 1)]
+        units += [(licenses.words_of(text or ""), True)] * is_file
+        found = []
+        for words, whole in units:
+            v = vector(words)
+            length = math.sqrt(sum(x * x for x in v.values()))
+            for name, t, of_files in every:
+                u = vector(t)
+                if words and (whole or not of_files) and (whole or len(words) <= licenses.LONGEST or words in [licenses.words_of(x) for x in (text or "").split("\n")]):
+                    s = round(sum(x * u.get(w, 0) for w, x in v.items()) / length / math.sqrt(sum(x * x for x in u.values())), 6)
+                    if s >= threshold:
+                        found.append((-s, name))
+        out[i] = (min(found)[1], -min(found)[0]) if found else None
+    return out
+
+
+def test_licenses_equal_brute_force(spark):
+    rng = random.Random(15)
+    words = sorted({w for _, t in licenses.TEMPLATES for w in licenses.words_of(t)})
+    mit, apache = dict(licenses.WHOLE_TEXTS)["MIT"], dict(licenses.TEMPLATES[2:4])["Apache-2.0"]
+    texts = [(True, "Copyright (c) 2020 Some One\n\n" + mit.replace(". ", ".\n")), (True, "   Apache License\n  Version 2.0, January 2004\n\n" + apache + "\n" + prose(rng, 200)), (False, mit), (True, "not a licence"), (False, None), (False, "")]
+    for _ in range(40):
+        name, t = rng.choice(licenses.TEMPLATES)
+        mixed = [w if rng.random() < 0.85 else rng.choice([*words, "xx", "yy"]) for w in t.split()]
+        for k in range(rng.randrange(4)):
+            mixed.insert(rng.randrange(len(mixed)), rng.choice(["\n", ".", "zz", "; "]))
+        texts.append((False, prose(rng, 6) + " " + " ".join(mixed) + ". " + prose(rng, 5)))
+    df = spark.createDataFrame([(i, t, f) for i, (f, t) in enumerate(texts)], "doc_id long, text string, f boolean")
+    path = F.concat_ws("/", F.lit("x"), F.col("doc_id").cast("string"), F.when(F.col("f"), "LICENSE").otherwise("a.c"))
+    got = {r.doc_id: (r.own_license, r.own_score) if r.own_license else None for r in scan_licenses(df, path).collect()}
+    expected = brute_licenses([(i, f, t) for i, (f, t) in enumerate(texts)])
+    assert got == expected and got[0][0] == "MIT" and got[1][0] == "Apache-2.0" and sum(x is not None for x in got.values()) > 15
+
+
 def test_mixing_keeps_a_source_of_one_word_beside_billions(spark):
     sources = spark.createDataFrame([("", 1, 1, 5_000_000_001), ("big", 5_000_000_000, 9_000, 5_000_000_001)], "source string, tokens long, docs long, total long")
     alpha = mixing.find_exponent(sources, None, None, 1.5)
