@@ -23,7 +23,7 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.mixing import mix_sources
 
-    return mix_sources(_documents(spark, sf_dir), target_entropy=0.95)
+    return mix_sources(_documents(spark, sf_dir), target_entropy=0.998)
 
 
 #: How texts begin that stand for licence files; fixed value.
@@ -118,7 +118,8 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 _OP2 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source,
-         CAST(greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS tokens FROM documents
+         CAST(greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS tokens,
+         coalesce(CAST(doc_id AS VARCHAR), '') || '|' || substr(md5(coalesce(text, '')), 1, 16) AS name FROM documents
 ), s AS (
   SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS docs FROM d GROUP BY source
 ), l AS (SELECT list(tokens / total ORDER BY source) AS x, max(total) AS total, count(*) AS n FROM (SELECT *, CAST(sum(tokens) OVER () AS BIGINT) AS total FROM s)
@@ -126,23 +127,23 @@ WITH RECURSIVE d AS (
   SELECT 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 0 AS k
   UNION ALL
   SELECT CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END, k + 1 FROM (
-    SELECT low, high, k, mid, ln(z) - y / z - 0.95 * ln(n) >= 0 AS ok FROM (
+    SELECT low, high, k, mid, ln(z) - y / z - 0.998 * ln(n) >= 0 AS ok FROM (
       SELECT low, high, k, mid, n, list_sum(p) AS z, list_sum(list_transform(p, lambda v: v * ln(v))) AS y FROM (
         SELECT low, high, k, (low + high) / 2 AS mid, n, list_transform(x, lambda v: pow(v, (low + high) / 2)) AS p FROM b, l WHERE k < 40)))
 ), a AS (
-  SELECT CASE WHEN (SELECT -list_sum(list_transform(x, lambda v: v * ln(v))) - 0.95 * ln(n) >= 0 FROM l) THEN 1.0 ELSE round(low, 9) END AS alpha FROM b WHERE k = 40
+  SELECT CASE WHEN (SELECT -list_sum(list_transform(x, lambda v: v * ln(v))) - 0.998 * ln(n) >= 0 FROM l) THEN 1.0 ELSE round(low, 9) END AS alpha FROM b WHERE k = 40
 ), p AS (SELECT source, s.tokens, docs, total, pow(s.tokens / total, alpha) AS p FROM s, a, l
-), w AS (SELECT *, round(p / sum(p) OVER (), 9) AS weight FROM p
+), w AS (SELECT *, p / sum(p) OVER () AS share FROM p
 ), plan AS (
-  SELECT source, weight, tokens AS source_tokens, CAST(ceil(docs / 4096) AS BIGINT) AS blocks, CAST(floor(total * weight) AS BIGINT) AS quota FROM w
+  SELECT source, round(share, 9) AS weight, tokens AS source_tokens, CAST(ceil(docs / 4096) AS BIGINT) AS blocks, CAST(floor(round(total * share, 6)) AS BIGINT) AS quota FROM w
 ), t AS (
-  SELECT doc_id, d.source, d.tokens, weight, quota // source_tokens AS epochs, quota % source_tokens AS rest,
-         CAST('0x' || substr(md5('0b|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % blocks AS block
+  SELECT doc_id, name, d.source, d.tokens, weight, quota // source_tokens AS epochs, quota % source_tokens AS rest,
+         CAST('0x' || substr(md5('0b|' || name), 1, 8) AS BIGINT) % blocks AS block
   FROM d JOIN plan USING (source)
 ), u AS (SELECT t.*, unnest(range(epochs + 1)) AS epoch FROM t
 ), r AS (
   SELECT *, row_number() OVER i AS doc_rank, sum(tokens) OVER (i ROWS UNBOUNDED PRECEDING) AS reach FROM u
-  WINDOW i AS (PARTITION BY source, epoch, block ORDER BY md5('0|' || epoch || '|' || source || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, tokens)
+  WINDOW i AS (PARTITION BY source, epoch, block ORDER BY md5('0|' || epoch || '|' || source || '|' || name), name, tokens)
 ), z AS (SELECT source, block, epochs, sum(tokens) AS block_tokens FROM t GROUP BY ALL
 ), y AS (SELECT source, block, block_tokens, unnest(range(epochs + 1)) AS epoch FROM z
 ), x AS (
