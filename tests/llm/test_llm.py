@@ -409,21 +409,74 @@ def test_chain_learns_from_out_of_fold_predictions():
     assert chain.weights[1][1 << toxicity.BITS] > 0  # the second link leans on the first one's probability
 
 
-def test_mixing(spark, docs):
-    got = mixing.mix_sources(docs, target_entropy=0.99)
-    sums = {r.source: r.t for r in got.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    total = sum(max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t))) for _, t in plain(docs))
-    weights = {r.source: r.weight for r in got.select("source", "weight").distinct().collect()}
-    assert abs(sum(weights.values()) - 1) < 1e-6 and all(sums[s] <= total * w for s, w in weights.items())
-    p = np.array(list(weights.values()))
-    assert -(p * np.log(p)).sum() >= 0.99 * np.log(len(p)) - 1e-4
-    rows = mixing.mixed_rows(docs, budget="cover", max_repetition=1.5)
-    assert rows.columns == docs.columns
-    uses = collections.Counter((r.doc_id, r.text) for r in rows.collect())
-    assert set(uses) == {(r.doc_id, r.text) for r in docs.collect()} and max(uses.values()) <= 4
-    assert mixing.mix_sources(docs.limit(0), target_entropy=0.9).count() == 0
+def mix_expected(rows, alpha, budget, block=mixing.BLOCK):
+    """Uses of each (id, text, source) by the rules of the module's docstring, in plain Python."""
+    digest = lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
+    docs = []
+    for i, t, s in rows:
+        name = f"{'' if i is None else i}|{hashlib.md5((t or '').encode()).hexdigest()[:16]}"
+        docs.append((s or "", name, max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))), (i, t, s)))
+    tokens = collections.Counter()
+    for s, _, n, _ in docs:
+        tokens[s] += n
+    total = sum(tokens.values())
+    p = {s: (n / total) ** alpha for s, n in tokens.items()}
+    z = math.fsum(p.values())
+    whole = math.ceil(max(tokens[s] / p[s] for s in p) * z) if budget == "cover" else total if budget is None else budget
+    uses = collections.Counter()
+    for s in tokens:
+        own = [d for d in docs if d[0] == s]
+        quota = max(math.floor(round(whole * p[s] / z, 6)), tokens[s] if budget == "cover" else 0)
+        blocks = -(-len(own) // block)
+        for epoch in range(quota // tokens[s] + 1):
+            left = quota % tokens[s] if epoch == quota // tokens[s] else None
+            dealt = collections.defaultdict(list)
+            for d in own:
+                dealt[int(digest("0b", d[1])[:8], 16) % blocks].append(d)
+            before = 0
+            for k in sorted(dealt, key=lambda k: digest(0, epoch, s, f"b{k}")):
+                reach = before
+                for d in sorted(dealt[k], key=lambda d: (digest(0, epoch, s, d[1]), d[1])):
+                    reach += d[2]
+                    if left is None or reach <= left:
+                        uses[d[3]] += 1
+                before = reach
+    return uses
+
+
+@pytest.mark.parametrize("how", [{"target_entropy": 0.99}, {"target_entropy": 0.999, "budget": 3000}, {"max_repetition": 1.5, "budget": "cover"}, {"max_repetition": 2.5, "budget": 40_000}])
+def test_mixing(spark, docs, monkeypatch, how):
+    monkeypatch.setattr(mixing, "BLOCK", 6)
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    sums = docs.sparkSession.createDataFrame([(s or "", max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")))) for _, t, s in rows], "source string, n long").groupBy("source").agg(F.sum("n").alias("tokens"))
+    total = sums.agg(F.sum("tokens")).head()[0]
+    budget = how.get("budget")
+    alpha = mixing.find_exponent(sums.withColumn("total", F.lit(total)), None if budget == "cover" else budget or total, how.get("target_entropy"), how.get("max_repetition"))
+    assert 0 <= alpha <= 1
+    got = mixing.mix_sources(docs, **how)
+    expected = mix_expected(rows, alpha, budget, 6)
+    by_row = collections.Counter()
+    for r in got.collect():
+        by_row[(r.doc_id, r.source, r.tokens)] += 1
+    wanted = collections.Counter()
+    for (i, t, s), n in expected.items():
+        wanted[(i, s or "", max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))))] += n
+    assert by_row == wanted
+    out = mixing.mixed_rows(docs, **how)
+    assert out.columns == docs.columns and collections.Counter((r.doc_id, r.text, r.source) for r in out.collect()) == expected
+    if budget == "cover":
+        assert set(expected) == set(rows)
+
+
+
+
+def test_mixing_of_odd_tables(spark, docs):
+    assert mixing.mix_sources(docs.limit(0), target_entropy=0.9).count() == 0 and mixing.mixed_rows(docs.limit(0), max_repetition=2.0, budget="cover").count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(docs)
+    odd = docs.select("doc_id", "text", "source", F.lit(1).alias("name"), F.lit(2).alias("a.b"), F.lit(3).alias("__copy"), F.lit(4).alias("copies"), F.lit(5).alias("from"))
+    got = mixing.mixed_rows(odd, max_repetition=1.5, budget="cover")
+    assert got.columns == odd.columns and set(got.select("name", "`a.b`", "__copy", "copies", "from").distinct().collect()) == {(1, 2, 3, 4, 5)}
 
 
 def test_licenses(spark):
