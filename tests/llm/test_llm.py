@@ -1,6 +1,7 @@
 """Small fixtures for every operator: nulls, empty and long texts, repeated rows, extra columns, empty tables."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -17,6 +18,7 @@ from quillmark.llm.common import scratch_path, tokenizer_path
 from quillmark.llm.encoding import Encoder
 from quillmark.llm.licenses import scan_licenses
 from quillmark.llm.textvec import span_hashes, text_bytes
+from tests.llm import plain as plain_rules
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, count long, rank string, token int, h long"
@@ -273,19 +275,28 @@ def test_repeated_starts():
 
 
 def test_order_minhash(spark, docs):
-    got = {(r.doc_id, r.edited_sha256): r for r in omh.with_edits(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
-    rows = sorted({i: t for i, t in plain(docs) if i is not None}.items(), reverse=True)
-    assert len(got) == len(rows)
-    for k, (i, t) in enumerate(rows):
-        after = rows[(k + 1) % len(rows)][1]
+    """Against fingerprints of all K-mers, one after another; null and repeated ids included."""
+    rows = docs.where("doc_id is null or doc_id != 403").collect()
+    some = docs.where("doc_id is null or doc_id != 403").unionByName(table(spark, [(403, "ab " * 900, "s2")]))
+    texts = sorted([(r.doc_id, r.text or "") for r in rows] + [(403, "ab " * 900)], key=lambda x: -1 if x[0] is None else x[0], reverse=True)
+    of = functools.lru_cache(None)(lambda t: plain_rules.order_minhash(t, omh.K, omh._XOR.ravel().tolist(), omh._MULTIPLY.ravel().tolist()))
+    alike = lambda a, b: sum(a[k : k + 4] == b[k : k + 4] for k in range(0, len(a), 4)) / (len(a) // 4)
+    got = omh.with_edits(some).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in texts)
+    once = {i for i, n in collections.Counter(i for i, _ in texts).items() if n == 1}
+    for k, (i, t) in enumerate(texts):
+        after = texts[(k + 1) % len(texts)][1]
+        if i not in once or i is None or texts[(k + 1) % len(texts)][0] not in once:
+            continue  # of equal ids the order is by a hash of the text
         m = len(t) // 3
         edited = t[: len(t) - m] + after[:m]
-        r = got[(i, hashlib.sha256(edited.encode()).hexdigest())]
-        own, new, following = omh.fingerprint(t), omh.fingerprint(edited), omh.fingerprint(after)
-        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(t), own.tobytes().hex(), new.tobytes().hex())
-        assert (r.near_edited, r.near_next) == (omh.likeness(own, new), omh.likeness(own, following))
+        [r] = [r for r in got if r.doc_id == i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (of(t), of(edited))
+        assert (r.near_edited, r.near_next) == (alike(of(t), of(edited)), alike(of(t), of(after)))
+    own = {r.doc_id: r.fingerprint for r in omh.fingerprints(some.where("doc_id is not null")).collect()}
+    assert all(own[i] == of(t) for i, t in texts if i in once and i is not None)
     assert omh.with_edits(docs.limit(0)).count() == 0 and omh.with_edits(docs.limit(1)).count() == 1
-    assert omh.with_edits(docs).count() == docs.count()
 
 
 def test_order_matters():
@@ -386,6 +397,39 @@ def test_quality(spark):
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_quality_equals_plain_rules(spark):
+    rng = random.Random(16)
+    texts = {i: " ".join(rng.choice(["Word", "word", "WORD", "w1", "é", "!!", "a-b", "...", "two two"]) for _ in range(rng.randrange(1, 30))) for i in range(60)} | {900: "", 901: None}
+    labels = {i: i % 2 for i in range(40)}
+    docs = table(spark, [(i, t, "s") for i, t in texts.items()])
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    expected = plain_rules.quality_scores(texts, labels)
+    got = {r.doc_id: r for r in quality.score(docs, quality.fit(docs, known)).collect()}
+    assert all(abs(got[i].score - x) < 1e-5 and got[i].predicted == (got[i].score >= 0.7) for i, x in expected.items()) and len({round(x, 3) for x in expected.values()}) > 20
+
+
+def toxic_fixture(rng, n=40):
+    texts = {i: prose(rng, rng.randrange(3, 14), 60) for i in range(n)} | {900: "", 901: None, 902: "?? !!"}
+    labels = {}
+    for i in range(n):
+        labels[i] = int(i % 4 == 0)
+        if labels[i]:
+            texts[i] += " " + rng.choice(["Idiot", "scum", "pathetic", "worthless idiot"])
+    return texts, labels
+
+
+def test_toxicity_equals_plain_rules(spark):
+    texts, labels = toxic_fixture(random.Random(17))
+    docs = table(spark, [(i, t, "s") for i, t in texts.items()])
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    expected = plain_rules.toxicity_scores(texts, labels, toxicity.CATEGORIES)
+    names = [*toxicity.CATEGORIES, "toxic"]
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, known), names).collect()}
+    for i, p in expected.items():
+        assert all(abs(got[i][c] - x) < 1e-5 for c, x in zip(names, p, strict=True))
+        assert got[i].rejected == (bool(re.search(r"\w", texts[i] or "")) and got[i].toxic > 0.2)
+
+
 def test_toxicity(spark):
     docs, labels = marked(spark)
     chain = toxicity.fit(docs, labels.where("doc_id < 300 or doc_id is null"))
