@@ -351,10 +351,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
 
 
 def first_of_each_group(docs: DataFrame, words: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which near_duplicates keeps one per group, with all their columns. Rows of one id are one
-    document, of which one row stays; rows without id all stay."""
-    kept = near_duplicates(docs, words, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    found = docs.join(kept, F.col(id_col).cast("long") == F.col("__id"))
-    one = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(F.col(text_col))))
-    found = found.withColumn("__row", one).where("__row = 1").select(*docs.columns)
-    return found.unionByName(docs.where(F.col(id_col).isNull()))
+    """The documents of which near_duplicates keeps one per group, with all their columns, whatever their names. Rows of
+    one id are one document, of which one row stays; rows without id all stay."""
+    kept = near_duplicates(docs, words, percent, id_col, text_col).where("kept and doc_id is not null").select("doc_id").distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    number, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    found = rows.withColumn("doc_id", number.cast("long")).join(kept, "doc_id")
+    # one row of each id is found before the shuffle as well, so a frequent id is a row a task
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text), text))
+    found = found.withColumn("n", one).where("n = 1").select(*names)
+    return found.unionByName(rows.where(number.isNull())).toDF(*docs.columns)

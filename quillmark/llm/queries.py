@@ -45,7 +45,7 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm import toxicity
 
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, toxicity.fit(docs, labels), [*toxicity.CATEGORIES, "toxic"], threshold=0.2)
+    return toxicity.score(docs, toxicity.fit(docs, labels), [*toxicity.CATEGORIES, "toxic"], threshold=toxicity.THRESHOLD)
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

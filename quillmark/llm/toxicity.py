@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import narrow, ship_package
+from quillmark.llm.common import narrow, ship_package, text_or_empty
 from quillmark.llm.ftrl import Ftrl, distinct_per_row, row_sums, sigmoid
 from quillmark.llm.labels import training_rows
 from quillmark.llm.textvec import LOWER, U64, WORDY, mix, span_hashes, steps, take_rows, text_bytes, word_spans
@@ -31,8 +31,8 @@ from quillmark.llm.textvec import LOWER, U64, WORDY, mix, span_hashes, steps, ta
 BITS, FOLDS = 20, 4
 #: Bytes of word beginnings that are features beside whole words, as inflected words share them.
 BEGINNINGS = (4, 5, 6)
-#: Documents the chain is fitted on at most.
-MAX_TRAIN = 8_000
+#: Documents the chain is fitted on at most, and the probability from which a document is rejected; README says how it was chosen.
+MAX_TRAIN, THRESHOLD = 8_000, 0.2
 #: Seed words of weak category labels; fixed values.
 CATEGORIES = {
     "insult": ["idiot", "moron", "stupid", "clown", "loser"],
@@ -139,17 +139,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories: di
     return Chain(links, np.frombuffer(bytes(found[0][0]), np.float32).reshape(chain.weights.shape))
 
 
-def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float = 0.2, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Per document: doc_id, one probability column per link, and rejected (the last one exceeds the threshold, and the text has words).
-    With keep, all columns of docs stay and only `rejected` is added under the name __rejected."""
-    ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(chain.weights)  # of a fixed size
+def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, one probability column per link, and rejected (the last one exceeds the threshold, and the text has words)."""
+    rows = _scored(narrow(docs, id_col, text_col), chain, threshold)
+    return rows.select("doc_id", *(F.col("p")[k].alias(c) for k, c in enumerate(names)), "rejected")
+
+
+def _scored(rows: DataFrame, chain: Chain, threshold: float) -> DataFrame:
+    """rows with a column `text`, which gives way to p (the probabilities of the links) and rejected."""
+    ship_package(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(chain.weights)  # of a fixed size
     links = chain.links
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Chain(links, shared.value)
         for batch in batches:
-            data, offsets = text_bytes(batch.column("__text" if keep else "text"))
+            data, offsets = text_bytes(batch.column("text"))
             p, words = [np.empty((0, links))], [np.empty(0, bool)]
             for a, b in steps(offsets):
                 feature, cut = features(*take_rows(data, offsets, a, b))
@@ -157,19 +162,17 @@ def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float = 0.
                 words.append(np.diff(cut) > 0)
             p = np.concatenate(p)
             rejected = pa.array((p[:, -1] > threshold) & np.concatenate(words))
-            if keep:
-                others = [(c, x) for c, x in zip(batch.schema.names, batch.columns, strict=True) if c != "__text"]
-                yield pa.RecordBatch.from_arrays([*(x for _, x in others), rejected], names=[*(c for c, _ in others), "__rejected"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k].copy()) for k in range(links)), rejected], names=["doc_id", *names, "rejected"])
-
-    if keep:
-        schema = docs.withColumn("__rejected", F.lit(True)).schema
-        return docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(each, schema)
-    return narrow(docs, id_col, text_col).mapInArrow(each, "doc_id long, " + "".join(f"{c} double, " for c in names) + "rejected boolean")
-
-
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """The documents that the chain does not reject, with their columns."""
-    rows = score(docs, fit(docs, labels), [*CATEGORIES, "toxic"], threshold, keep=True)
-    return rows.where("not __rejected").drop("__rejected")
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), links).cast(pa.list_(pa.float64()))
+            kept = [(c, x) for c, x in zip(batch.schema.names, batch.columns, strict=True) if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(x for _, x in kept), lists, rejected], names=[*(c for c, _ in kept), "p", "rejected"])
+
+    schema = rows.drop("text").select("*", F.array(F.lit(0.0)).alias("p"), F.lit(True).alias("rejected")).schema
+    return rows.mapInArrow(each, schema)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents that the chain does not reject, with all their columns, whatever their names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    rows = rows.withColumn("text", text_or_empty(F.col(names[docs.columns.index(text_col)])))
+    return _scored(rows, fit(docs, labels), threshold).where("not rejected").select(*names).toDF(*docs.columns)

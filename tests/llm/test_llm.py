@@ -408,11 +408,11 @@ def test_quality_equals_plain_rules(spark):
     assert all(abs(got[i].score - x) < 1e-5 and got[i].predicted == (got[i].score >= 0.7) for i, x in expected.items()) and len({round(x, 3) for x in expected.values()}) > 20
 
 
-def toxic_fixture(rng, n=40):
+def toxic_fixture(rng, n=40, every=4):
     texts = {i: prose(rng, rng.randrange(3, 14), 60) for i in range(n)} | {900: "", 901: None, 902: "?? !!"}
     labels = {}
     for i in range(n):
-        labels[i] = int(i % 4 == 0)
+        labels[i] = int(i % every == 0)
         if labels[i]:
             texts[i] += " " + rng.choice(["Idiot", "scum", "pathetic", "worthless idiot"])
     return texts, labels
