@@ -1,14 +1,18 @@
 """From documents to packed training sequences, in five stages over whole tables.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; it is written as Parquet and read
-again. All but the last return the columns of documents.
+again. All but the last return the columns of documents, whatever further ones there are and however they are named.
+
+Null texts are empty: they are never toxic, near copies of nothing, have no passages, cost one word in the mix and are
+packed as their end id. Rows without id stay as they are. Rows of one id are one document to the second stage, of which
+one row stays. Of exact copies the smallest id stays, whatever their order. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm.common import scratch_path, tokenizer_path
+from quillmark.llm.common import delete_path, mark, release, scratch_path, tokenizer_path
 from quillmark.llm.mixing import mixed_rows
 from quillmark.llm.neardup import first_of_each_group
 from quillmark.llm.packing import pack
@@ -49,15 +53,19 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The stages that fit models and encode tokens have no SQL form; tests compare run() with a brute-force version.
+#: The stages that fit models and encode tokens have no SQL form; tests/llm/test_pipeline.py has a plain version of run().
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies all stages to the table documents. What a stage leaves in the shared folder goes when the next is done."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
+        since = mark(spark)
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        release(spark, since, keep=(path,))
+        if before is not None:
+            delete_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
