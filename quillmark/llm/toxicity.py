@@ -29,8 +29,9 @@ from quillmark.llm.labels import training_rows
 from quillmark.llm.textvec import LOWER, U64, WORDY, mix, span_hashes, steps, take_rows, text_bytes, word_spans
 
 BITS, FOLDS = 20, 4
-#: Bytes of word beginnings that are features beside whole words, as inflected words share them.
-BEGINNINGS = (4, 5, 6)
+#: Bytes of word beginnings that are features beside whole words, as inflected words share them; a beginning that stands in
+#: so many distinct words of a text is a further feature each.
+BEGINNINGS, OFTEN = (4, 5, 6, 7, 8), (2, 4)
 #: Documents the chain is fitted on at most, and the probability from which a document is rejected; README says how it was chosen.
 MAX_TRAIN, THRESHOLD = 8_000, 0.2
 #: Seed words of weak category labels; fixed values.
@@ -42,7 +43,8 @@ CATEGORIES = {
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed words and word beginnings of texts in a row, letter case aside, and row offsets."""
+    """Distinct hashed words and word beginnings of texts in a row, letter case aside, beginnings of several words, and row
+    offsets."""
     low = LOWER[data]
     starts, ends, row = word_spans(low, offsets, WORDY[low])
     rows = len(offsets) - 1
@@ -51,8 +53,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     out, of = [span_hashes(low, starts, ends)], [row]
     for n in BEGINNINGS:
         at = np.flatnonzero(ends - starts >= n)
-        out.append(mix(span_hashes(low, starts[at], starts[at] + n) + U64(n)))
-        of.append(row[at])
+        x = mix(span_hashes(low, starts[at], starts[at] + n) + U64(n))
+        _, place, count = np.unique(x ^ mix(row[at].astype(U64) + U64(1)), return_index=True, return_counts=True)
+        out.append(x[place])
+        of.append(row[at][place])
+        for least in OFTEN:
+            often = place[count >= least]
+            out.append(mix(x[often] + U64(least)))
+            of.append(row[at][often])
     feature, _, cut = distinct_per_row((np.concatenate(out) >> U64(64 - BITS)).astype(np.int64), np.concatenate(of), rows, BITS)
     return feature, cut
 

@@ -113,11 +113,16 @@ def quality_scores(texts: dict, labels: dict, epochs: int = 3) -> dict:
 def toxicity_features(text: str) -> dict:
     raw = re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode())
     out = {}
+    begins = {}
     for w in set(re.findall(rb"[0-9A-Za-z_\x80-\xff]+", raw)):
         out[hash_of(w) >> 44] = 1.0
-        for n in (4, 5, 6):
+        for n in (4, 5, 6, 7, 8):
             if len(w) >= n:
-                out[mix(hash_of(w[:n]) + n) >> 44] = 1.0
+                begins[w[:n]] = begins.get(w[:n], 0) + 1
+    for b, n in begins.items():
+        x = mix(hash_of(b) + len(b))
+        for h in (x, *(mix(x + least) for least in (2, 4) if n >= least)):
+            out[h >> 44] = 1.0
     return out
 
 
