@@ -9,7 +9,8 @@ ones of the next document in descending id order (after the last: the first). Do
 task walks its own, and only a range's first and last document meet another task: one row of each per range.
 
 Null text is empty; a text shorter than K is one K-mer; the empty text has a fingerprint of its own. Equal ids are
-ordered by text, null ids come last. Extra columns are ignored; an empty table gives no rows.
+ordered by a hash of the text, and equal rows by their numbers, so they can spread over ranges too; null ids come last. A
+text is looked at as a whole, with about 60 bytes of memory for each code point. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -171,8 +172,9 @@ def _seam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per document."""
     ship_package(docs.sparkSession)
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    ranges = narrow(docs, id_col, text_col).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("row")]
+    rows = narrow(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
     walked = materialize(ranges.mapInArrow(_walk, f"{_OUT}, kind int, part int, text string"), "omh-walk")
     heads = walked.where("kind = 1").select("part", F.col("text").alias("following"))
     # one row per range; the range after the last is the first

@@ -5,8 +5,8 @@
 3. Patterns of two or three lengths that fill a sequence exactly are enumerated, their repeat counts are fitted to
    the histogram by non-negative least squares, and rounded down to what is there.
 4. The residual counts are packed by best-fit decreasing, also by length and count, never by document.
-5. Pieces get ranks within their length (salted, so that a frequent length is spread over many tasks), and each
-   range of ranks belongs to one slot of one pattern.
+5. Pieces get ranks within their length (salted by numbers of their own, so that neither a frequent length nor repeated
+   rows gather in a task), and each range of ranks belongs to one slot of one pattern.
 
 Null text is an empty document (its end id only); null and repeated doc_ids are packed like any other; extra
 columns are ignored; an empty table gives no rows.
@@ -151,7 +151,8 @@ def _plan(counts: np.ndarray, most: int, patterns: np.ndarray, x: np.ndarray) ->
 
 def pack(docs: DataFrame, tokenizer_file: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = materialize(token_pieces(docs, tokenizer_file, end_id, max_tokens, id_col, text_col), "packing-pieces")
+    pieces = token_pieces(docs, tokenizer_file, end_id, max_tokens, id_col, text_col)
+    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     counts = np.zeros(max_tokens + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # max_tokens rows at most
         counts[length] = n
@@ -168,11 +169,11 @@ def pack(docs: DataFrame, tokenizer_file: str, max_tokens: int = 2048, end_id: i
     low, high = np.searchsorted(table[:, 0], np.arange(max_tokens + 1)), np.searchsorted(table[:, 0], np.arange(max_tokens + 1), side="right")
     groups = F.array(*(F.lit(int(-(-n // RANK_GROUP)) or 1) for n in counts))
 
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(groups, F.col("length").cast("int")).cast("long")))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.get(groups, F.col("length").cast("int")).cast("long")))
     sums = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("rank", F.row_number().over(inside) - 1).join(bases, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
 

@@ -1,4 +1,7 @@
-"""Vectorised text scanning for Arrow batches: bytes, words and rolling hashes of many texts at once."""
+"""Vectorised text scanning for Arrow batches: bytes, words and rolling hashes of many texts at once.
+
+Texts are looked at about a megabyte at a time. A longer text is one step to what needs all of it (word sets, n-grams),
+which then takes about 60 bytes of memory for each of its bytes; encoding and the search for passages cut it into parts."""
 
 from __future__ import annotations
 

@@ -5,7 +5,7 @@ allows it, else 32) and `<name>.idx` (n + 1 unsigned 64-bit offsets in ids, n si
 that are 1 where the id is not null); and the table `manifest`, which names the shards in order with each one's
 first document and first id. Those bases are prefix sums over the shards' sizes. Both files can be memory-mapped.
 
-Rows go to shards by ranges of (doc_id, text hash), so equal ids or repeated rows cannot fill one shard. Each task
+Rows go to shards by ranges of (doc_id, text hash, row number), so neither equal ids nor repeated rows can fill one shard. Each task
 attempt writes files of its own name; only names that reached the manifest count, so retries do no harm.
 
 Null text is an empty document (its end id only); null doc_id sorts first; extra columns are ignored; an empty
@@ -30,9 +30,12 @@ READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 
 def _store(folder: str):
+    """The file system and path of a folder; s3a:// and s3n:// are other names for s3://."""
+    import re
+
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,8 +79,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
         row = {"shard": [shard], "name": [name], "width": [width], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]}
         yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("name", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    rows = narrow(docs, id_col, text_col)
-    rows = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = narrow(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("row")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
     shards = materialize(rows.mapInArrow(write, MANIFEST), "token-shards")
     # one row per shard, not per document
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,10 +100,11 @@ class TokenShard:
             if store.type_name == "local":
                 return np.memmap(f"{place}/{name}.{kind}", dtype=dtype, mode="r", offset=offset, shape=shape)
             with store.open_input_file(f"{place}/{name}.{kind}") as f:
-                return np.frombuffer(f.read_at(f.size() - offset if shape is None else shape * np.dtype(dtype).itemsize, offset), dtype)
+                return np.frombuffer(f.read_at(shape * np.dtype(dtype).itemsize, offset), dtype)
 
         n = n_docs
-        self.ids = raw("ids", f"<u{width}")
+        self._raw, self._dtype = raw, np.dtype(f"<u{width}")
+        self.ids = raw("ids", f"<u{width}") if store.type_name == "local" else None
         self.offsets = raw("idx", "<u8", n + 1)
         self.doc_ids = raw("idx", "<i8", n, 8 * (n + 1))
         self.valid = raw("idx", "u1", n, 8 * (2 * n + 1))
@@ -107,8 +112,13 @@ class TokenShard:
     def __len__(self) -> int:
         return len(self.doc_ids)
 
+    def range(self, a: int, b: int) -> np.ndarray:
+        """Ids of the documents [a, b): mapped, or read from a store that can't be mapped, no more than these."""
+        first, last = int(self.offsets[a]), int(self.offsets[b])
+        return self._raw("ids", self._dtype, last - first, first * self._dtype.itemsize) if self.ids is None else self.ids[first:last]
+
     def __getitem__(self, i: int) -> np.ndarray:
-        return self.ids[int(self.offsets[i]) : int(self.offsets[i + 1])]
+        return self.range(i, i + 1)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +133,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 for a in range(0, len(shard), 8192):
                     b = min(a + 8192, len(shard))
                     at = shard.offsets[a : b + 1].astype(np.int64)
-                    ids = np.asarray(shard.ids[at[0] : at[-1]]).astype("<u4").tobytes()
+                    ids = np.asarray(shard.range(a, b)).astype("<u4").tobytes()
                     cut = (4 * (at - at[0])).tolist()
                     crc = [zlib.crc32(ids[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
                     doc_ids = pa.array(np.asarray(shard.doc_ids[a:b]), mask=np.asarray(shard.valid[a:b]) == 0)
