@@ -14,8 +14,8 @@ from quillmark.operators.graph import connected_components
 from quillmark.runtime import materialize
 
 
-#: Pivots that vectors are dealt by at most, and vectors that make one more pivot worth while.
-PIVOTS, PER_PIVOT = 64, 500
+#: Pivots that vectors are dealt by at most, vectors that make one more pivot worth while, and vectors of a block, about.
+PIVOTS, PER_PIVOT, BLOCK = 64, 500, 1024
 
 
 def band_pairs(df: DataFrame, id_col: str, ts_col: str, hours: float, extra: list[str] | None = None, on: list[str] | None = None) -> DataFrame:
@@ -51,6 +51,37 @@ def _cells(pivots: list[list[float]], reach: float, all_cells: bool) -> Column:
     return F.pandas_udf(cells, "array<long>" if all_cells else "long", F.PandasUDFType.SCALAR)(F.col("u"))
 
 
+def _products(a: DataFrame, b: DataFrame, keys: list[str], least: float, width: int | None = None) -> DataFrame:
+    """(x, y, similarity) of rows (keys, x, u, t) of a and b that agree in the keys, whose inner product of u is at least
+    `least` (6 digits) and whose t differ by `width` at most. Rows meet in blocks, as matrices, not one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        n = df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+        dealt = df.join(n, keys).withColumn("block", F.pmod(F.xxhash64("x", "u"), F.col("n")))
+        lists = dealt.groupBy(*keys, "block").agg(F.collect_list(F.struct("x", "u", "t")).alias("l"))  # a block, bounded
+        return lists.select(*keys, F.col("l.x").alias(f"{name}x"), F.flatten("l.u").alias(f"{name}u"), F.col("l.t").alias(f"{name}t"))
+
+    both = blocks(a, "a").join(blocks(b, "b"), keys).drop(*keys)
+
+    def meet(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ax, bx = batch.column("ax")[r].values, batch.column("bx")[r].values
+                u, v = (np.array(batch.column(c)[r].values, np.float64).reshape(len(x), -1) for c, x in (("au", ax), ("bu", bx)))
+                product = np.round(u @ v.T, 6)
+                hit = product >= least
+                if width is not None:
+                    s, t = (np.array(batch.column(c)[r].values, np.int64) for c in ("at", "bt"))
+                    hit &= np.abs(s[:, None] - t[None, :]) <= width
+                i, j = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([ax.take(pa.array(i)), bx.take(pa.array(j)), pa.array(product[i, j])], names=["x", "y", "similarity"])
+
+    schema = a.select("x").schema.add("y", b.schema["x"].dataType).add("similarity", "double")
+    return both.mapInArrow(meet, schema)
+
+
 def similar_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, ts_col: str | None = None, hours: float = 48.0, extra: list[str] | None = None) -> DataFrame:
     """Pairs i < j of vectors with a cosine of at least the threshold (rounded to 6 digits), with a time column only
     those at most `hours` apart: columns of i and j, similarity. Rows without a vector take no part.
@@ -74,14 +105,12 @@ def similar_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, ts_
             band = F.floor(micros / width)
             at, to = at.withColumns({"t": micros, "band": band}), to.withColumns({"t": micros, "band": F.explode(F.array(band - 1, band, band + 1))})
         keys = ["cell", *(["band"] if ts_col else [])]
-        a = at.select(*(F.col(c).alias(f"{c}_i") for c in cols), F.col("u").alias("u_i"), F.col("home").alias("cell"), *(["band", F.col("t").alias("t_i")] if ts_col else []))
-        b = to.select(*(F.col(c).alias(f"{c}_j") for c in cols), F.col("u").alias("u_j"), "cell", *(["band", F.col("t").alias("t_j")] if ts_col else []))
+        time = [F.col("t")] if ts_col else [F.lit(0).cast("long").alias("t")]
+        a = at.select(F.col("home").alias("cell"), *keys[1:], F.struct(*(F.col(c).alias(f"{c}_i") for c in cols)).alias("x"), "u", *time)
+        b = to.select("cell", *keys[1:], F.struct(*(F.col(c).alias(f"{c}_j") for c in cols)).alias("x"), "u", *time)
         # i in its own cell meets j wherever that may be near: each pair once, in the cell (and band) of its smaller id
-        met = a.join(b, keys).where(F.col(f"{id_col}_i") < F.col(f"{id_col}_j"))
-        if ts_col:
-            met = met.where(F.abs(F.col("t_i") - F.col("t_j")) <= width)
-        sim = F.round(dot(F.col("u_i"), F.col("u_j")), 6)
-        out.append(met.select(*(f"{c}_{k}" for c in cols for k in "ij"), sim.alias("similarity")).where(F.col("similarity") >= threshold))
+        met = _products(a, b, keys, threshold, width if ts_col else None)
+        out.append(met.select("x.*", "y.*", "similarity").where(F.col(f"{id_col}_i") < F.col(f"{id_col}_j")).select(*(f"{c}_{k}" for c in cols for k in "ij"), "similarity"))
     if not out:
         return df.sparkSession.createDataFrame([], ", ".join(f"{c}_{k} {df.schema[c].dataType.simpleString()}" for c in cols for k in "ij") + ", similarity double")
     pairs = out[0]
@@ -169,9 +198,10 @@ def nearest(queries: DataFrame, items: DataFrame, key: str, most: float, k: int,
         own = x.where(F.col("dim") == dim)
         sample = [list(r[0]) for r in own.select("u").orderBy(F.xxhash64("u"), "id").limit(min(PIVOTS, n // PER_PIVOT + 1)).collect()]
         reach = math.sqrt(max(0.0, 2 * (most + 1e-6)))
-        a = q.where(F.col("dim") == dim).withColumn("cell", F.explode(_cells(sample, reach, True))).select(key, F.col("u").alias("v"), "cell")
-        b = own.withColumn("cell", _cells(sample, reach, False)).select("id", F.col("u").alias("w"), "cell")
-        met = a.join(b, "cell").select(key, "id", F.round(1 - dot(F.col("v"), F.col("w")), 6).alias("distance")).where(F.col("distance") < most)
+        zero = F.lit(0).cast("long").alias("t")
+        a = q.where(F.col("dim") == dim).withColumn("cell", F.explode(_cells(sample, reach, True))).select("cell", F.struct(key).alias("x"), "u", zero)
+        b = own.withColumn("cell", _cells(sample, reach, False)).select("cell", F.struct("id").alias("x"), "u", zero)
+        met = _products(a, b, ["cell"], 1 - most - 2e-6).select("x.*", "y.*", F.round(1 - F.col("similarity"), 6).alias("distance")).where(F.col("distance") < most)
         found = met if found is None else found.unionByName(met)
     if found is None:
         found = queries.select(key, F.lit(None).alias("id").cast(items.schema["id"].dataType), F.lit(0.0).alias("distance")).limit(0)
