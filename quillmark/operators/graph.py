@@ -21,6 +21,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     both = materialize(kept.union(kept.select(F.col("dst"), F.col("src"))).distinct(), f"{name}-edges")
     labels = materialize(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("label")), f"{name}-0")
     round_no = 0
+    if not both.head(1):
+        drop_tables(both)
+        out = labels.select("id", F.col("label").alias("component"))
+        out.quillmark_path = labels.quillmark_path
+        return out
     while True:
         round_no += 1
         near = both.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("label").alias("m"))

@@ -463,7 +463,19 @@ def prompt_sources_topk(spark, d):
     return _members(spark, d).select("event_id", "id", r.cast("long").alias("rank")).where("rank <= 8")
 
 
-@query()
+_LOCAL_CLAIMS = PRELUDE.replace("WITH raw_items", "WITH RECURSIVE raw_items", 1) + f""", se AS (SELECT event_id, source_tier, CAST(id AS VARCHAR) AS id, unnest(x) AS s, unnest(range(len(x))) AS pos FROM (
+  SELECT event_id, id, source_tier, list_filter(list_transform(string_split(regexp_replace(trim(content), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: s <> '') AS x
+  FROM event_items JOIN raw_items ON raw_item_id = id)),
+fi AS (SELECT event_id, source_tier, id, arg_min(s, pos) AS s, min(pos) AS pos FROM se WHERE length(s) BETWEEN 40 AND 320 AND NOT regexp_matches(s, '{X.BOILERPLATE_PATTERN}') GROUP BY event_id, source_tier, id, lower(s)),
+ca AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY source_tier, id, pos) AS k FROM fi),
+fo AS (SELECT DISTINCT event_id, 0::BIGINT AS k, CAST([] AS STRUCT(s VARCHAR, id VARCHAR)[]) AS got FROM ca UNION ALL
+  SELECT fo.event_id, ca.k, CASE WHEN len(got) < 14 AND len(list_filter(got, lambda y: y.id = ca.id)) < 3 AND len(list_filter(got, lambda y: lower(y.s) = lower(ca.s))) = 0 THEN list_append(got, {{'s': ca.s, 'id': ca.id}}) ELSE got END
+  FROM fo JOIN ca ON ca.event_id = fo.event_id AND ca.k = fo.k + 1),
+la AS (SELECT event_id, arg_max(got, k) AS got FROM fo GROUP BY 1)
+SELECT event_id, CAST(unnest(range(len(got))) AS INTEGER) AS ordinal, unnest(got).s AS claim_text, unnest(got).id AS source_id FROM la"""
+
+
+@query(_LOCAL_CLAIMS)
 def local_claims(spark, d):
     return C.local_claims(_members(spark, d).select("event_id", "id", "source_tier", F.col("content").alias("text")))
 

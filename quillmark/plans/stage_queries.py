@@ -11,7 +11,7 @@ from quillmark.functions.lexicons import HEADLINE_STOP_WORDS, PAYWALLED_HOSTS
 from quillmark.operators import claims as C
 from quillmark.operators import editions, tables
 from quillmark.plans import adapters as A
-from quillmark.plans import newsroom, stages
+from quillmark.plans import newsroom, registry, stages
 from quillmark.plans.registry import _TF, query
 from quillmark.runtime import materialize, ship_package
 from quillmark.sources import catalogue
@@ -193,6 +193,22 @@ def edition_stories(spark, d):
     return lines.select(F.col("n").cast("long").alias("n"), "story_id", F.array_join("lines", "\n").alias("markdown"))
 
 
+_STORY_SQL = registry._ORACLES["edition_stories"].removeprefix(A.PRELUDE)
+_APPROVED = _STORY_SQL.replace("FROM stories)", "FROM stories WHERE editor_approved)").replace("'- Claim ' || claim_id || '. — *'", "'- Claim ' || claim_id || ' — *'").replace("CASE WHEN claim_id % 7 = 0 THEN ' _(primary-source backed)_' ELSE '' END", "''").replace("SELECT i AS n,", ", md AS (SELECT i AS n, headline, CASE WHEN debate THEN 'debate' ELSE 'report' END AS mode, event_id,", 1) + """),
+po AS (SELECT event_id, '*Public discussion: ' || sum(n) || ' Reddit ' || CASE WHEN sum(n) = 1 THEN 'post' ELSE 'posts' END || ' in this event''s cluster (' || string_agg('r/' || source_name, ', ' ORDER BY source_name) || ') — surfaced as signal, not cited as fact.*' AS said
+  FROM (SELECT event_id, source_name, count(*) AS n FROM event_items JOIN raw_items ON raw_item_id = id WHERE source_tier = 3 GROUP BY 1, 2) GROUP BY 1)
+"""
+
+
+@query(_APPROVED + f"""SELECT '# Daily Edition' || chr(10) || chr(10) || '*Autonomous, fact-checked newsletter · Wednesday, 03 January 2024 · ' || count(*) || ' stor' || CASE WHEN count(*) = 1 THEN 'y' ELSE 'ies' END || '*' || chr(10) || chr(10)
+  || '## In this edition' || chr(10) || chr(10) || string_agg(n || '. [' || headline || '](#' || n || '-' || lower(replace(headline, ' ', '-')) || ') — _' || mode || '_', chr(10) ORDER BY n) || chr(10) || chr(10)
+  || string_agg(markdown || CASE WHEN said IS NOT NULL THEN chr(10) || said || chr(10) ELSE '' END, chr(10) ORDER BY n) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '{editions.FOOTER}' AS markdown
+  FROM md LEFT JOIN po USING (event_id)""")
+def edition_text(spark, d):
+    """The whole edition as one text."""
+    return edition_markdown(spark, d).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("markdown"))
+
+
 @query()
 def edition_markdown(spark, d):
     """All lines of the edition of approved stories."""
