@@ -38,16 +38,16 @@ def embed_pending(spark, d):
 
 @query(", " + _TF.replace("lower(content)", "lower(embed_text)").replace("FROM raw_items)", """FROM (SELECT id, left(CASE WHEN trim(coalesce(title, '')) <> '' AND trim(coalesce(content, '')) <> '' THEN trim(title) || chr(10) || chr(10) || trim(content)
   WHEN trim(coalesce(title, '')) <> '' THEN trim(title) ELSE trim(coalesce(content, '')) END, 2000) AS embed_text FROM raw_items WHERE id NOT IN (SELECT vec_id FROM embeddings)))""", 1).replace("1048576", "1024")
-       + " SELECT id, bucket, round(weight / min(weight) OVER (PARTITION BY id), 2) AS weight FROM w UNION ALL SELECT vec_id, unnest(range(len(embedding))), round(CAST(unnest(embedding) AS DOUBLE), 5) FROM embeddings JOIN raw_items ON id = vec_id")
+       + " SELECT id, bucket, CAST(floor(weight / min(weight) OVER (PARTITION BY id) * 100 + 0.3137) AS DOUBLE) AS weight FROM w UNION ALL SELECT vec_id, unnest(range(len(embedding))), CAST(unnest(embedding) AS DOUBLE) FROM embeddings JOIN raw_items ON id = vec_id")
 def embed_stage(spark, d):
     """Items without a vector get one of hashed terms, the others keep theirs; as (id, place, value), of new ones without zeros and in
-    terms of the least value."""
+    hundredths of the least value."""
     old = _embedded(spark, d)
     new = stages.embed(old, Settings(embedding_backend="local"))
     known = old.select("id", F.col("embedding").isNotNull().alias("known"))
     rows = new.join(known, "id").select("id", "known", F.posexplode("embedding").alias("bucket", "x"))
     x = F.col("x").cast("double")
-    value = F.when(F.col("known"), F.round(x, 5)).otherwise(F.round(x / F.min(x).over(Window.partitionBy("id")), 2))
+    value = F.when(F.col("known"), x).otherwise(F.floor(x / F.min(x).over(Window.partitionBy("id")) * 100 + 0.3137).cast("double"))
     return rows.where("known or x != 0").select("id", F.col("bucket").cast("long").alias("bucket"), value.alias("weight"))
 
 
@@ -161,10 +161,10 @@ def _signals(spark, d):
     return editions.social_posts(A.event_items(spark, d), items)
 
 
-@query("""SELECT event_id, sum(n) AS posts, '*Public discussion: ' || sum(n) || ' Reddit ' || CASE WHEN sum(n) = 1 THEN 'post' ELSE 'posts' END || ' in this event''s cluster (' || string_agg('r/' || source_name, ', ' ORDER BY source_name) || ') — surfaced as signal, not cited as fact.*' AS discussion
+@query("""SELECT event_id, CAST(sum(n) AS BIGINT) AS posts, '*Public discussion: ' || sum(n) || ' Reddit ' || CASE WHEN sum(n) = 1 THEN 'post' ELSE 'posts' END || ' in this event''s cluster (' || string_agg('r/' || source_name, ', ' ORDER BY source_name) || ') — surfaced as signal, not cited as fact.*' AS discussion
   FROM (SELECT event_id, source_name, count(*) AS n FROM event_items JOIN raw_items ON raw_item_id = id WHERE source_tier = 3 GROUP BY 1, 2) GROUP BY 1""")
 def post_sums(spark, d):
-    return editions.discussions(_signals(spark, d)).select("event_id", F.col("posts").cast("decimal(38,0)").cast("long").alias("posts"), "discussion")
+    return editions.discussions(_signals(spark, d)).select("event_id", "posts", "discussion")
 
 
 def _edition_stories(spark, d) -> DataFrame:
