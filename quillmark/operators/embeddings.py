@@ -1,4 +1,4 @@
-"""Where vectors of texts come from: hashed terms inside Spark, or a remote model in batches inside tasks."""
+"""Where vectors of texts come from: hashed terms, or a remote model in batches inside tasks."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.config import Settings
-from quillmark.functions import vector as V
+from quillmark.functions import terms
 
 DIM, BATCH, TRIES, PAUSE = 1024, 128, 3, 5.0
 
@@ -24,7 +24,7 @@ class EmbeddingBackend(Protocol):
 
 
 class HashedTerms:
-    """Uni- and bigrams without stop words, hashed to DIM places, counts scaled to length one; no Python runs."""
+    """Uni- and bigrams without stop words, hashed to DIM places, counts scaled to length one; rows are not shuffled."""
 
     name = "local"
 
@@ -32,11 +32,10 @@ class HashedTerms:
         self.dim = dim
 
     def embed(self, rows: DataFrame) -> DataFrame:
-        terms = V.hashed_terms(rows, "id", F.col("text"), self.dim)
-        sparse = terms.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-        places = F.sequence(F.lit(0).cast("long"), F.lit(self.dim - 1).cast("long"))
-        dense = F.transform(places, lambda k: F.coalesce(F.get(F.col("v"), F.lit(0))[k], F.lit(0.0)).cast("float"))
-        return rows.select("id").join(sparse, "id", "left").select("id", F.array(F.coalesce("m", F.create_map().cast("map<bigint,double>"))).alias("v")).select("id", dense.alias("embedding"))
+        return rows.select("id", self.column(rows, F.col("text")).alias("embedding"))
+
+    def column(self, rows: DataFrame, text: Column) -> Column:
+        return terms.dense(rows.sparkSession, text, self.dim)
 
 
 class RemoteModel:
@@ -81,17 +80,24 @@ def get_backend(settings: Settings, ask=None) -> EmbeddingBackend:
     raise ValueError(f"unknown embedding backend: {settings.embedding_backend}")
 
 
+def without_vector(items: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    rows = items.where("embedding is null")
+    return rows.where(F.col("source_name").isin(*sources)) if sources else rows
+
+
 def pending(items: DataFrame, sources: list[str] | None = None, limit: int = 1_000_000) -> DataFrame:
     """Items (id, source_name, title, content, fetched_at, embedding) without a vector, first come first."""
-    rows = items.where("embedding is null")
-    if sources:
-        rows = rows.where(F.col("source_name").isin(*sources))
-    return rows.orderBy("fetched_at", "id").limit(limit)
+    return without_vector(items, sources).orderBy("fetched_at", "id").limit(limit)
 
 
-def embed_stage(items: DataFrame, backend: EmbeddingBackend, text: Column, sources: list[str] | None = None, limit: int = 1_000_000) -> DataFrame:
-    """The items with vectors where one was missing; the others keep theirs."""
-    rows = pending(items, sources, limit).select("id", text.alias("text"))
+def embed_stage(items: DataFrame, backend: EmbeddingBackend, text: Column, sources: list[str] | None = None, limit: int | None = 1_000_000) -> DataFrame:
+    """The items with vectors where one was missing; the others keep theirs. Without a limit no row is put in order,
+    and the local backend's vectors are made where the rows are."""
+    if limit is None and isinstance(backend, HashedTerms):
+        open_ = F.col("embedding").isNull() & (F.col("source_name").isin(*sources) if sources else F.lit(True))
+        new = F.when(open_, backend.column(items, F.when(open_, text)))
+        return items.select(*(F.coalesce("embedding", new).alias("embedding") if c == "embedding" else F.col(c) for c in items.columns))
+    rows = (without_vector(items, sources) if limit is None else pending(items, sources, limit)).select("id", text.alias("text"))
     news = backend.embed(rows).select("id", F.col("embedding").alias("__new"))
     joined = items.join(news, "id", "left")
     return joined.select(*(F.coalesce("embedding", "__new").alias("embedding") if c == "embedding" else F.col(c) for c in items.columns))

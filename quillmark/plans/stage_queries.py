@@ -43,11 +43,12 @@ def embed_stage(spark, d):
     """Items without a vector get one of hashed terms, the others keep theirs; as (id, place, value), of new ones without zeros and in
     hundredths of the least value."""
     old = _embedded(spark, d)
-    new = stages.embed(old, Settings(embedding_backend="local"))
-    known = old.select("id", F.col("embedding").isNotNull().alias("known"))
-    rows = new.join(known, "id").select("id", "known", F.posexplode("embedding").alias("bucket", "x"))
+    new = stages.embed(old.withColumn("known", F.col("embedding").isNotNull()), Settings(embedding_backend="local"), limit=None)
+    least = F.array_min(F.filter("embedding", lambda x: x != 0)).cast("double")
+    # a step of its own: beside posexplode it would be computed for each place
+    rows = new.select("id", "known", F.when(~F.col("known"), least).alias("least"), "embedding").select("id", "known", "least", F.posexplode("embedding").alias("bucket", "x"))
     x = F.col("x").cast("double")
-    value = F.when(F.col("known"), x).otherwise(F.floor(x / F.min(x).over(Window.partitionBy("id")) * 100 + 0.3137).cast("double"))
+    value = F.when(F.col("known"), x).otherwise(F.floor(x / F.col("least") * 100 + 0.3137).cast("double"))
     return rows.where("known or x != 0").select("id", F.col("bucket").cast("long").alias("bucket"), value.alias("weight"))
 
 

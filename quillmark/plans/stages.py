@@ -22,7 +22,7 @@ RESEARCH_URLS, RESEARCH_DOCS, RESEARCH_LEAST, RESEARCH_MOST = 5, 3, 200, 3000
 SEARCH_ARTICLES, SEARCH_IMAGES, SEARCH_ENOUGH = 5, 2, 6
 
 
-def embed(items: DataFrame, settings: Settings, ask=None, sources: list[str] | None = None, limit: int = 1_000_000) -> DataFrame:
+def embed(items: DataFrame, settings: Settings, ask=None, sources: list[str] | None = None, limit: int | None = 1_000_000) -> DataFrame:
     """Items with vectors of their title and content where they had none."""
     return embeddings.embed_stage(items, embeddings.get_backend(settings, ask), X.embed_text(F.col("title"), F.col("content")), sources, limit)
 

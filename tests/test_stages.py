@@ -280,3 +280,26 @@ def test_feeds_in_any_store(spark, tmp_path):
     (tmp_path / "a.xml").write_text(feed(("T", "https://x/1", "D", "")))
     paths = spark.createDataFrame([("feed:a", str(tmp_path / "a.xml"))], "feed_url string, path string")
     assert [r.feed_url for r in catalogue.read_feeds(spark, paths).collect()] == ["feed:a"]
+
+
+def test_local_vectors_equal_hashed_terms(spark):
+    import hashlib
+    import re
+    from collections import Counter
+
+    from quillmark.functions.lexicons import STOP_WORDS
+
+    texts = ["", None, "a", "The cat, and the CAT-food é3 x y2", "ÄÖ straße 日本 ½ _x", "q" * 60 + " " + "z" * 54 + " " + "y" * 55 + " " + "ab" * 12, " ".join(f"w{i % 97}" for i in range(3000))]
+    rows = [(i, "s" if i % 2 else "t", t, i, None) for i, t in enumerate(texts)] + [(99, "s", "cat", 99, [1.0])]
+    items = spark.createDataFrame(rows, "id long, source_name string, content string, fetched_at long, embedding array<float>")
+    for dim in (1024, 1000):
+        new = embeddings.embed_stage(items, embeddings.HashedTerms(dim), F.col("content"), limit=None)
+        got = {r.id: r.embedding for r in new.collect()}
+        assert got.pop(99) == [1.0] and "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
+        for i, t in enumerate(texts):
+            w = [x for x in re.findall(r"\w{2,}", (t or "").lower()) if x not in STOP_WORDS]
+            n = Counter(int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % dim for g in [*w, *map(" ".join, zip(w, w[1:], strict=False))])
+            length = sum(x * x for x in n.values()) ** 0.5
+            assert len(got[i]) == dim and all(abs(got[i][k] - (n[k] / length if n[k] else 0.0)) < 1e-7 for k in range(dim)), i
+    some = {r.id: r.embedding for r in embeddings.embed_stage(items, embeddings.HashedTerms(), F.col("content"), ["s"], limit=None).collect()}
+    assert [i for i in range(7) if some[i] is None] == [0, 2, 4, 6] and some[3] == {r.id: r.embedding for r in embeddings.embed_stage(items, embeddings.HashedTerms(), F.col("content")).collect()}[3]
