@@ -11,7 +11,7 @@ from quillmark.functions import lexicons
 from quillmark.functions import text as X
 from quillmark.functions import vector as V
 from quillmark.operators import claims as C
-from quillmark.operators import cluster, rank, stories, tables
+from quillmark.operators import cluster, rank, stories, tables, termpairs
 from quillmark.plans.adapters import NOW, PRELUDE, SAMPLE_WORDS
 from quillmark.plans import adapters as A
 from quillmark.runtime import materialize
@@ -355,7 +355,7 @@ def sparse_cosine_pairs(spark, d):
 
 
 def _text_pairs(spark, d) -> DataFrame:
-    return cluster.rare_pairs(materialize(V.hashed_terms(A.raw_items(spark, d), "id", F.col("content"), _BUCKETS), "terms"), "id", 0.9)
+    return termpairs.text_pairs(A.raw_items(spark, d), "id", F.col("content"), _BUCKETS, 0.9)
 
 
 @query("""SELECT a.event_id AS i, b.event_id AS j FROM events a JOIN events b ON a.event_id < b.event_id AND abs(date_diff('microsecond', a.last_seen_at, b.last_seen_at)) <= 1800000000""")
