@@ -1,6 +1,6 @@
 """Pairs of texts whose vectors of hashed terms are alike, without a row per term or per meeting.
 
-1. Texts of the same words are one vector, under their smallest id.
+1. Equal texts are one vector, under their smallest id.
 2. Buckets are named by their frequency, the rarest 0; how often each occurs is known of all vectors (`dim` numbers).
 3. Vectors are dealt to blocks of like numbers of terms, a folder of files each in the shared store.
 4. Two blocks meet in one task: the rarest terms of a vector, whose rest is shorter than REST, are looked up in an index
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import terms
 from quillmark.functions.vector import hashed_terms
 from quillmark.operators import cluster
-from quillmark.runtime import delete_path, drop_tables, materialize, scratch_path, ship_package
+from quillmark.runtime import delete_path, drop_tables, lean, materialize, scratch_path, ship_package
 
 #: Squared length of what a vector's rarest terms leave, at most; terms of a block; meetings and pairs of one step; blocks that one task meets.
 REST, BLOCK, STEP, EACH = 0.78, 2_000_000, 1 << 20, 4
@@ -30,12 +30,12 @@ CLASSES, LIGHT = 4, 0.4
 
 
 def _texts(items: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(id, first) of rows whose words are those of a row of a smaller id, and (first, words) of all other rows."""
-    rows = items.select(F.col(id_col).cast("long").alias("id"), terms.spaced(text).alias("words")).where("id IS NOT NULL AND words IS NOT NULL")
-    keyed = rows.withColumn("key", F.sha2("words", 256))
+    """(id, first) of rows whose text is that of a row of a smaller id, and (first, words) of all other rows."""
+    rows = items.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    keyed = rows.select("id", F.sha2("text", 256).alias("key"))
     same = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    copies = materialize(keyed.select("id", "key").join(same, "key").where("id != first").select("id", "first"), "terms-copies")
-    return copies, rows.join(copies.select("id"), "id", "left_anti").select(F.col("id").alias("first"), "words")
+    copies = materialize(keyed.join(same, "key").where("id != first").select("id", "first"), "terms-copies")
+    return copies, rows.join(copies.select("id"), "id", "left_anti").select(F.col("id").alias("first"), terms.spaced(F.col("text")).alias("words"))
 
 
 def _vectors(texts: DataFrame, dim: int) -> DataFrame:
@@ -56,7 +56,7 @@ def _vectors(texts: DataFrame, dim: int) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(np.append(at[has], len(row)).astype(np.int32)), pa.array(x.astype(np.int32))) for x in (bucket, n)]
                 yield pa.RecordBatch.from_arrays([batch.column("first").slice(a, b - a).take(pa.array(has)), *lists], names=["first", "bucket", "n"])
 
-    return texts.mapInArrow(make, "first long, bucket array<int>, n array<int>")
+    return texts.mapInArrow(lean(make), "first long, bucket array<int>, n array<int>")
 
 
 def _frequencies(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -196,7 +196,7 @@ def _named(vectors: DataFrame, name: np.ndarray, least: float) -> DataFrame:
                 parts = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (steps, n)]
                 yield pa.RecordBatch.from_arrays([batch.column("first"), *parts, pa.array(rare), pa.array(rest), pa.array(size), pa.array(fewest), pa.array(kind.astype(np.int32))], names=["first", "name", "n", "rare", "rest", "size", "fewest", "class"])
 
-    return vectors.mapInArrow(make, "first long, name array<int>, n array<int>, rare long, rest double, size long, fewest long, class int")
+    return vectors.mapInArrow(lean(make), "first long, name array<int>, n array<int>, rare long, rest double, size long, fewest long, class int")
 
 
 def _forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +276,7 @@ def _first_pairs(texts: DataFrame, dim: int, least: float, links: bool) -> tuple
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(like)], names=["i", "j", "similarity"])
 
     lists = spark.range(0, len(low), 1, max(1, min(len(low) // 64, 1000))).mapInArrow(pairs_of_blocks, "p int, qs array<int>")
-    found = materialize(lists.repartition(max(1, min(4 * len(low), 10_000))).mapInArrow(meet, "i long, j long, similarity double"), "terms-pairs")
+    found = materialize(lists.repartition(max(1, min(4 * len(low), 10_000))).mapInArrow(lean(meet), "i long, j long, similarity double"), "terms-pairs")
     delete_path(spark, path)
     return found, rows.select("first")
 

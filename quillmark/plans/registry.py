@@ -358,6 +358,10 @@ def _text_pairs(spark, d) -> DataFrame:
     return termpairs.text_pairs(A.raw_items(spark, d), "id", F.col("content"), _BUCKETS, 0.9)
 
 
+def _text_links(spark, d) -> DataFrame:
+    return termpairs.text_links(A.raw_items(spark, d), "id", F.col("content"), _BUCKETS, 0.9)
+
+
 @query("""SELECT a.event_id AS i, b.event_id AS j FROM events a JOIN events b ON a.event_id < b.event_id AND abs(date_diff('microsecond', a.last_seen_at, b.last_seen_at)) <= 1800000000""")
 def band_self_join(spark, d):
     return cluster.band_pairs(A.events(spark, d), "event_id", "last_seen_at", 0.5).select(F.col("event_id_i").alias("i"), F.col("event_id_j").alias("j"))
@@ -372,7 +376,7 @@ r AS (SELECT id, id AS c FROM raw_items UNION SELECT b.j, r.c FROM r JOIN b ON b
 
 @query((PRELUDE.replace("WITH raw_items", "WITH RECURSIVE raw_items", 1) + _COMPONENTS + " SELECT id, min(c) AS component FROM r GROUP BY 1"))
 def connected_components(spark, d):
-    return cluster.components(_text_pairs(spark, d), A.raw_items(spark, d), "id")
+    return cluster.components(_text_links(spark, d), A.raw_items(spark, d), "id")
 
 
 @query(PRELUDE.replace("WITH raw_items", "WITH RECURSIVE raw_items", 1) + _COMPONENTS + """, m AS (SELECT id, min(c) AS event_id FROM r GROUP BY 1),

@@ -42,3 +42,20 @@ def test_terms_are_no_rows_of_a_join(spark, tmp_path, query):
     rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(near_copies(4))]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert "bucket" not in registry.queries()[query](spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("query", ["connected_components"])
+def test_components_need_no_row_per_pair(spark, tmp_path, monkeypatch, query):
+    def rows_of_all_pairs(*_):
+        raise AssertionError("pairs are listed one by one")
+
+    monkeypatch.setattr(cluster, "rare_pairs", rows_of_all_pairs)
+    monkeypatch.setattr(termpairs, "text_pairs", rows_of_all_pairs)
+    texts = ["aa bb cc dd"] * 5 + ["Aa, bb cc dd"] + [f"x{i} y{i} z{i}" for i in range(3)]
+    rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()[query](spark, str(tmp_path)).collect()
+    if query == "connected_components":
+        assert {r.id: r.component for r in got} == {**dict.fromkeys(range(6), 0), 6: 6, 7: 7, 8: 8}
+    else:
+        assert {r.event_id: r.num_items for r in got} == {0: 6, 6: 1, 7: 1, 8: 1}
