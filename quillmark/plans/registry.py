@@ -384,7 +384,7 @@ k AS (SELECT m.event_id, x.*, coalesce(published_at, fetched_at) AS ts, row_numb
 SELECT event_id, max(CASE WHEN k = 1 THEN left(trim(title), 280) END) AS title, max(CASE WHEN k = 1 THEN left(trim(content), 500) END) AS summary,
   min(ts) AS first_seen_at, max(ts) AS last_seen_at, bool_or(source_tier <= 2) AS tier_1_anchor, count(*) AS num_items FROM k GROUP BY 1""")
 def cluster_events(spark, d):
-    return cluster.cluster_events(A.raw_items(spark, d), _text_pairs(spark, d))
+    return cluster.cluster_events(A.raw_items(spark, d), _text_links(spark, d))
 
 
 @query("SELECT event_id, raw_item_id AS representative FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY source_tier, coalesce(published_at, fetched_at) DESC, id) AS k FROM event_items JOIN raw_items ON raw_item_id = id) WHERE k = 1")

@@ -44,7 +44,7 @@ def test_terms_are_no_rows_of_a_join(spark, tmp_path, query):
     assert "bucket" not in registry.queries()[query](spark, str(tmp_path))._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("query", ["connected_components"])
+@pytest.mark.parametrize("query", ["connected_components", "cluster_events"])
 def test_components_need_no_row_per_pair(spark, tmp_path, monkeypatch, query):
     def rows_of_all_pairs(*_):
         raise AssertionError("pairs are listed one by one")
