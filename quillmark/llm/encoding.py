@@ -17,7 +17,7 @@ import numpy as np
 from quillmark.llm.textvec import STEP_BYTES, span_hashes, steps, take_rows
 
 #: Pieces, and ids of pieces, that a worker keeps before it starts anew.
-KEEP_PIECES, KEEP_IDS = 3_000_000, 1 << 24
+KEEP_PIECES, KEEP_IDS = 1_500_000, 1 << 23
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

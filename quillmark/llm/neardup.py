@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import drop_tables, materialize, narrow, ship_package
+from quillmark.llm.common import drop_tables, lean, materialize, narrow, ship_package
 from quillmark.operators.graph import connected_components
 from quillmark.llm.textvec import LOWER, SPACE, U64, mix, span_hashes, steps, take_rows, text_bytes, word_spans
 
@@ -269,7 +269,7 @@ def _candidates(own: DataFrame, percent: int) -> DataFrame:
     small = small.unionByName(tables.where(F.col("count") <= BUCKET).select("node", "bucket"))
     stars = tables.where(F.col("count") > BUCKET).select(F.col("node").alias("src"), "dst")
     dealt = small.join(detail, "node").repartition("bucket").sortWithinPartitions("bucket")
-    edges = materialize(dealt.mapInArrow(lambda it: _join_buckets(it, percent), "src long, dst long").union(stars), "neardup-candidates")
+    edges = materialize(dealt.mapInArrow(lean(lambda it: _join_buckets(it, percent)), "src long, dst long").union(stars), "neardup-candidates")
     drop_tables(met, tables, shared)
     return edges
 
@@ -283,7 +283,7 @@ def _confirmed(members: DataFrame, rows: DataFrame, words: int, percent: int) ->
     def verify(units: DataFrame, name: str) -> DataFrame:
         dealt = units.join(rows, F.col("first_id") == F.col("doc_id")).select("node", "h1", "h2", "label", *_UNIT, "text")
         dealt = dealt.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
-        return materialize(dealt.mapInArrow(lambda it: _verify(it, words, percent), "src long, dst long"), name)
+        return materialize(dealt.mapInArrow(lean(lambda it: _verify(it, words, percent)), "src long, dst long"), name)
 
     def unit(*columns) -> list:
         return ["node", "first_id", "h1", "h2", "label", *(F.lit(c).cast("long").alias(n) if isinstance(c, int) else c.cast("long").alias(n) for c, n in zip(columns, _UNIT, strict=True))]
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     ship_package(docs.sparkSession)
     rows = narrow(docs, id_col, text_col)
     signed = materialize(
-        rows.mapInArrow(lambda it: _signatures(it, words), "doc_id long, n long, h1 long, h2 long, keys array<long>, sig binary"), "neardup-signatures"
+        rows.mapInArrow(lean(lambda it: _signatures(it, words)), "doc_id long, n long, h1 long, h2 long, keys array<long>, sig binary"), "neardup-signatures"
     )
     usable = signed.where("n > 0 and doc_id is not null")
     # what equal sets have in common is aggregated before the shuffle, so a much-copied text is one row a task

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import materialize, narrow, ship_package
+from quillmark.llm.common import lean, materialize, narrow, ship_package
 
 #: Pieces of one length that are ranked in one group.
 RANK_GROUP = 10_000
@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, max_tokens:
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return narrow(docs, id_col, text_col).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return narrow(docs, id_col, text_col).mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _patterns(counts: np.ndarray, most: int) -> np.ndarray:
@@ -190,4 +190,4 @@ def pack(docs: DataFrame, tokenizer_file: str, max_tokens: int = 2048, end_id: i
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import drop_tables, materialize, narrow, ship_package, text_or_empty
+from quillmark.llm.common import drop_tables, lean, materialize, narrow, ship_package, text_or_empty
 from quillmark.llm.neardup import whole_groups
 from quillmark.llm.textvec import U64, mix, span_hashes, steps, take_rows, text_bytes
 
@@ -271,7 +271,7 @@ def _expand_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 def _expanded(kinds: DataFrame, length: int) -> DataFrame:
     """Runs (g, c, first, last) of kinds in groups of at most GROUP."""
     dealt = kinds.select("g", "c", "copies", "bytes").repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(lambda it: _expand_groups(it, length), _RUNS)
+    return dealt.mapInArrow(lean(lambda it: _expand_groups(it, length)), _RUNS)
 
 
 def _counted(kinds: DataFrame, key: str) -> DataFrame:
@@ -289,7 +289,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     bits = _bits(length)
     start = F.expr(f"shiftright(packed, {2 * bits})")
     rows = _keyed(docs, id_col, text_col).where(F.octet_length("text") >= length).select("d", "rk", "text")
-    listed = materialize(rows.mapInArrow(lambda it: _list_contexts(it, length), _LISTED), "suffix-contexts")
+    listed = materialize(rows.mapInArrow(lean(lambda it: _list_contexts(it, length)), _LISTED), "suffix-contexts")
     twice = materialize(listed.groupBy("h").count().where("count > 1").select("h"), "suffix-twice")
     level = materialize(listed.join(twice.hint("merge"), "h"), "suffix-level")
     drop_tables(listed, twice)
@@ -301,7 +301,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     whole = tagged.where("kinds = 1").select("h", "c", F.lit(0).alias("first"), (F.expr(f"shiftright(packed, {bits})").bitwiseAND((1 << bits) - 1) - 1).cast("int").alias("last"))
     found = tagged.where("kinds > 1").groupBy("d", "rk").agg(F.collect_list(F.struct("h", "c", "packed", "copies", "kinds")).alias("found"))
     cut = rows.join(found.hint("merge"), ["d", "rk"]).select("text", "found")
-    strings = materialize(cut.mapInArrow(lambda it: _cut_kinds(it, length), _STRINGS), "suffix-strings")
+    strings = materialize(cut.mapInArrow(lean(lambda it: _cut_kinds(it, length)), _STRINGS), "suffix-strings")
     small = _expanded(strings.where(f"kinds <= {GROUP}").select(F.col("h").alias("g"), "c", "copies", "bytes"), length)
     runs = [materialize(whole.unionByName(small.withColumnRenamed("g", "h")), "suffix-runs")]
     large = strings.where(f"kinds > {GROUP}").select("h", "c", F.lit(0).alias("skip"), F.col("h").alias("g"), "n", "place", "copies", "bytes")
@@ -395,7 +395,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
             sizes = np.array(sizes, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), *(pa.array(sizes[:, k].copy()) for k in range(3)), pa.array(kept, pa.binary())], names=["doc_id", "rk", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.mapInArrow(remove, "doc_id long, rk long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(lean(remove), "doc_id long, rk long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _border(raw: bytes, at: int, step: int) -> int:
@@ -435,7 +435,7 @@ def cleaned_rows(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    out = rows.mapInArrow(clean, rows.drop("spans").schema)
+    out = rows.mapInArrow(lean(clean), rows.drop("spans").schema)
     if size_col in docs.columns:
         size = docs.columns.index(size_col)
         out = out.withColumn(names[size], F.length(names[at]).cast(docs.schema[size].dataType))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import narrow, ship_package, text_or_empty
+from quillmark.llm.common import lean, narrow, ship_package, text_or_empty
 from quillmark.llm.ftrl import Ftrl, distinct_per_row, row_sums, sigmoid
 from quillmark.llm.labels import training_rows
 from quillmark.llm.textvec import LOWER, U64, WORDY, mix, span_hashes, steps, take_rows, text_bytes, word_spans
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories: di
         yield pa.RecordBatch.from_arrays([pa.array([chain.weights.tobytes()], pa.binary())], names=["weights"])
 
     sample = weak_labels(training_rows(docs, labels, [label], max_rows), categories, label).select("text", *columns)
-    found = sample.mapInArrow(train, "weights binary").collect()  # one row of a fixed size
+    found = sample.mapInArrow(lean(train), "weights binary").collect()  # one row of a fixed size
     chain = Chain(links)
     if not found:
         chain.weights[:, -1] = -60.0
@@ -175,7 +175,7 @@ def _scored(rows: DataFrame, chain: Chain, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(x for _, x in kept), lists, rejected], names=[*(c for c, _ in kept), "p", "rejected"])
 
     schema = rows.drop("text").select("*", F.array(F.lit(0.0)).alias("p"), F.lit(True).alias("rejected")).schema
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(lean(each), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
