@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.runtime import delete_path, drop_tables, lean, mark, materialize, release, scratch_path, shared_dir, ship_package
+from quillmark.runtime import delete_path, drop_tables, give_back_driver, lean, mark, materialize, release, scratch_path, shared_dir, ship_package
 
-__all__ = ["delete_path", "drop_tables", "lean", "mark", "materialize", "release", "scratch_path", "shared_dir", "ship_package", "narrow", "text_or_empty", "tokenizer_path"]
+__all__ = ["delete_path", "drop_tables", "give_back_driver", "lean", "mark", "materialize", "release", "scratch_path", "shared_dir", "ship_package", "narrow", "text_or_empty", "tokenizer_path"]
 
 
 def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

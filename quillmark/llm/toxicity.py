@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import lean, narrow, ship_package, text_or_empty
+from quillmark.llm.common import give_back_driver, lean, narrow, ship_package, text_or_empty
 from quillmark.llm.ftrl import Ftrl, distinct_per_row, row_sums, sigmoid
 from quillmark.llm.labels import training_rows
 from quillmark.llm.textvec import LOWER, U64, WORDY, mix, span_hashes, steps, take_rows, text_bytes, word_spans
@@ -157,6 +157,7 @@ def _scored(rows: DataFrame, chain: Chain, threshold: float) -> DataFrame:
     """rows with a column `text`, which gives way to p (the probabilities of the links) and rejected."""
     ship_package(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(chain.weights)  # of a fixed size
+    give_back_driver(rows.sparkSession)
     links = chain.links
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

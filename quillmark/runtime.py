@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
@@ -43,6 +44,24 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back_driver(spark: SparkSession) -> None:
+    """The same for the driver: for this process and its JVM, in which hundreds of threads plan and compile small jobs; the C
+    library keeps what they free for each of them. JVMs without the command, which came with 17.0.9, stay as they are."""
+    give_back()
+    with contextlib.suppress(Py4JError):
+        sc = spark.sparkContext
+        named, new = sc._jvm.java.lang.Class.forName, sc._gateway.new_array
+        # by reflection, as the class of the server is not open to callers
+        types = new(sc._jvm.java.lang.Class, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = named(name)
+        values = new(sc._jvm.java.lang.Object, 4)
+        values[0] = sc._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        values[1] = "systemTrimNativeHeap"
+        server = sc._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        named("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, values)
+
+
 def lean(work):
     """The same function for mapInArrow; it gives back freed memory after some megabytes of input, and at the end of a task."""
 
@@ -129,6 +148,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    give_back_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.quillmark_path = path
     return out
