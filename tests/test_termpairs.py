@@ -2,10 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillmark.functions import terms
 from quillmark.functions import vector as V
+from quillmark.llm.textvec import text_bytes
 from quillmark.operators import cluster, termpairs
 from quillmark.plans import registry
 
@@ -59,3 +63,41 @@ def test_components_need_no_row_per_pair(spark, tmp_path, monkeypatch, query):
         assert {r.id: r.component for r in got} == {**dict.fromkeys(range(6), 0), 6: 6, 7: 7, 8: 8}
     else:
         assert {r.event_id: r.num_items for r in got} == {0: 6, 6: 1, 7: 1, 8: 1}
+
+
+def block(texts: list[str], first: int, least: float, dim: int = 1 << 20) -> termpairs.Block:
+    row, bucket, n = terms.counted(*text_bytes(pa.array(texts)), dim)
+    at = np.searchsorted(row, np.arange(len(texts) + 1))
+    name, n, fewest = termpairs.named(bucket, n, at, np.arange(dim, dtype=np.int32), least)
+    steps = np.diff(name, prepend=0)
+    steps[at[:-1]] = name[at[:-1]]
+    lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (steps, n)]
+    return termpairs.Block(pa.table([pa.array(range(first, first + len(texts))), *lists, pa.array(fewest)], names=["first", "name", "n", "fewest"]), dim)
+
+
+def test_few_pairs_are_decided_on_all_terms():
+    """Texts that share frequent words only are told apart by groups of buckets; pairs that links unite already are left out."""
+    rng, least = random.Random(7), 0.9
+    words = [f"w{k}" for k in range(6000)]
+    texts = [" ".join(rng.choices(words[:12], [40, 9, 7, 5, 4, 3, 2, 2, 2, 1, 1, 1], k=90) + rng.choices(words, k=rng.choice((150, 400)))) for _ in range(160)]
+    texts += [f"{texts[k % 4]} more{k} words{k}" for k in range(120)]
+    rng.shuffle(texts)
+    blocks = block(texts[:140], 0, least), block(texts[140:], 140, least)
+    vectors = {}
+    for x in blocks:
+        for k, i in enumerate(x.ids.to_pylist()):
+            own = slice(x.at[k], x.at[k + 1])
+            vectors[i] = dict(zip(x.name[own].tolist(), x.n[own].tolist(), strict=True)), x.length[k]
+    cosine = lambda i, j: sum(n * vectors[j][0].get(t, 0) for t, n in vectors[i][0].items()) / (vectors[i][1] * vectors[j][1])
+    expected = {(i, j) for i in vectors for j in vectors if i < j and round(cosine(i, j), 6) >= least}
+
+    def met(links):
+        for p, q in ((0, 0), (0, 1), (1, 1)):
+            for i, j, _ in termpairs.meet(blocks[p], blocks[q], least, links):
+                x, y = blocks[p].ids.take(pa.array(i)).to_pylist(), blocks[q].ids.take(pa.array(j)).to_pylist()
+                yield from ((min(k), max(k)) for k in zip(x, y, strict=True))
+
+    pairs, links = list(met(False)), list(met(True))
+    assert len(pairs) == len(set(pairs)) and set(pairs) == expected and len(expected) > 1000
+    forests = [dict(zip(*termpairs._forest(*np.array(x).T)[::-1], strict=True)) for x in (pairs, links)]
+    assert forests[0] == forests[1] and len(links) < len(pairs) / 3
